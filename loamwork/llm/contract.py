@@ -48,3 +48,21 @@ WITH n AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS body FROM doc
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY body)"""
+
+
+def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_components
+
+    return simhash_components(documents(spark, sf_dir), shingle=3, distance=3, bits=64, seed=42)
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .byte_bpe import decode_documents, encode_documents
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = encode_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+    return decode_documents(encoded, path).select(
+        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
