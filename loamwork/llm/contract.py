@@ -82,3 +82,58 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+#: Target weights of op1_mix: the domain follows from the number in a source's name.
+DOMAINS = ["web", "books", "code", "forums"]
+DOMAIN_WEIGHTS = {"web": 4, "books": 3, "code": 2, "forums": 1}
+LANG_WEIGHTS = {"en": 5, "de": 2, "fr": 2, "es": 1}
+
+
+def mix_levels(source: str = "row.source", lang: str = "row.lang") -> dict:
+    number = F.coalesce(F.regexp_extract(source, "([0-9]{1,9})$", 1).try_cast("int"), F.lit(0)) % len(DOMAINS)
+    domain = F.get(F.array(*map(F.lit, DOMAINS)), number)
+    return {"domain": domain, "lang": F.col(lang), "source": F.col(source)}
+
+
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed, weight_of
+
+    weights = {"domain": weight_of("domain", DOMAIN_WEIGHTS), "lang": weight_of("lang", LANG_WEIGHTS), "source": F.lit(1)}
+    got = mixed(documents(spark, sf_dir), mix_levels("source", "lang"), weights, budget_per_mille=800, max_epochs=4)
+    return got.select(F.col("row.doc_id").alias("doc_id"), "domain", "lang", "source", "n_tokens", "copies")
+
+
+def _mix_sql() -> str:
+    def fill(name: str, path: list[str], up: str, weight: str) -> str:
+        above = path[:-1]
+        on = " AND ".join(f"n.{c} IS NOT DISTINCT FROM u.{c}" for c in above) or "true"
+        part = f"PARTITION BY {', '.join(above)} " if above else ""
+        return f"""
+{name}n AS (SELECT n.*, u.alloc AS budget FROM (SELECT {', '.join(path)}, sum(cap)::BIGINT AS cap, {weight} AS weight FROM leaves GROUP BY {', '.join(path)}) n JOIN {up} u ON {on}),
+{name}r AS (SELECT *, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+  (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS remaining
+  FROM {name}n WINDOW o AS ({part}ORDER BY cap / weight, {path[-1]} NULLS FIRST)),
+{name}f AS (SELECT *, cap * remaining <= (budget - before) * weight AS isfull FROM {name}r),
+{name}s AS (SELECT *, (budget - coalesce(sum(cap) FILTER (isfull) OVER ({part}), 0))::BIGINT AS rest,
+  coalesce(sum(weight) FILTER (NOT isfull) OVER ({part}), 0)::BIGINT AS shares FROM {name}f),
+{name} AS (SELECT {', '.join(path)}, CASE WHEN isfull THEN cap ELSE ((shares - remaining + weight) * rest) // shares - ((shares - remaining) * rest) // shares END AS alloc FROM {name}s)"""
+
+    case = lambda c, given: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in given.items()) + " ELSE 1 END"
+    same = "d.domain IS NOT DISTINCT FROM p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source"
+    return f"""
+WITH d AS (SELECT doc_id, lang, source, {DOMAINS}[1 + coalesce(try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INT), 0) % {len(DOMAINS)}] AS domain,
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::BIGINT * 4 AS cap FROM d GROUP BY ALL),
+top AS (SELECT least(sum(tokens)::BIGINT * 800 // 1000, sum(cap)::BIGINT) AS alloc FROM leaves),
+{fill('lva', ['domain'], 'top', case('domain', DOMAIN_WEIGHTS))},
+{fill('lvb', ['domain', 'lang'], 'lva', case('lang', LANG_WEIGHTS))},
+{fill('lvc', ['domain', 'lang', 'source'], 'lvb', '1')},
+plan AS (SELECT d.*, alloc // tokens AS epochs, alloc % tokens AS rest FROM leaves d JOIN lvc p ON {same} WHERE tokens > 0),
+placed AS (SELECT d.*, p.epochs, p.rest, md5('1:' || coalesce(p.epochs, 0) || ':' || coalesce(d.doc_id::VARCHAR, '')) AS place FROM d LEFT JOIN plan p ON {same}),
+sums AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place RANGE UNBOUNDED PRECEDING), 0)
+  - sum(n_tokens) OVER (PARTITION BY domain, lang, source, place) AS before FROM placed)
+SELECT doc_id, domain, lang, source, n_tokens, coalesce(epochs + CASE WHEN before < rest THEN 1 ELSE 0 END, 0) AS copies FROM sums"""
+
+
+ORACLES["op1_mix"] = _mix_sql()
