@@ -41,8 +41,7 @@ def word_count(text: Column, terms: Sequence[str]) -> Column:
 def classified(df: DataFrame, fields: list[tuple[Column, int]], topics: dict[str, list[str]], faculty: Column | None = None) -> DataFrame:
     """df with topic, confidence and best_score: keyword counts in each field times its weight.
 
-    Without any keyword the faculty decides, else the last topic... confidence is 0.5 then. With stand-in topics
-    and no faculty the first topic stands.
+    Without any keyword the faculty decides if it is given, else the first topic stands; the confidence is 0.5 then.
     """
     low = [(F.lower(T.filled(c)), w) for c, w in fields]
     df = df.withColumn("__scores", F.array(*(sum((word_count(c, ks) * w for c, w in low), F.lit(0)) for ks in topics.values())))

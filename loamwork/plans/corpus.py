@@ -157,7 +157,7 @@ def keyword_topics(spark, sf_dir):
 def computing_topics(spark, sf_dir):
     """The Vietnamese topic lists over whole texts; no language of the test tables uses them, so all fall back."""
     docs = table(spark, sf_dir, "documents")
-    return classified(docs, [(F.col("text"), 1)], TOPICS).groupBy("topic").agg(F.count(F.lit(1)).alias("n_docs"))
+    return classified(docs, [(F.col("text"), 1)], TOPICS, F.lit("")).groupBy("topic").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 @query("""WITH w AS (SELECT doc_id, lower(coalesce(text, '')) AS t, lower(coalesce(source, '')) AS f, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS ws FROM documents),
