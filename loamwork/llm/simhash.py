@@ -5,7 +5,7 @@ to fixed reference fingerprints (pivots). By the triangle inequality no two fing
 largest difference in any coordinate, so pairs beyond it are discarded and only survivors are compared.
 
 Buckets are exact for small distances: with d + c blocks of bits, two fingerprints within d bits agree on some c
-blocks, so there is a table for each choice of c blocks. For larger distances each table takes a random choice
+blocks, so there is a table for each choice of c blocks (c is 2, or more for over 2**24 fingerprints). For larger distances each table takes a random choice
 of bits, as many tables as the recall asked for needs.
 """
 
@@ -69,7 +69,7 @@ def fingerprints(
 
 def exact_tables(bits: int, distance: int, rows: int) -> list[list[int]]:
     """Bit positions of each table such that all pairs within the distance meet; keys as long as rows call for."""
-    for c in range(1, bits - distance + 1):
+    for c in range(2, bits - distance + 1):
         cuts = [round(i * bits / (distance + c)) for i in range(distance + c + 1)]
         blocks = [list(range(a, b)) for a, b in zip(cuts, cuts[1:])]
         if c * (bits // (distance + c)) >= min(math.log2(max(rows, 2)), 32):
