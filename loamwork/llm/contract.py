@@ -137,3 +137,11 @@ SELECT doc_id, domain, lang, source, n_tokens, coalesce(epochs + CASE WHEN befor
 
 
 ORACLES["op1_mix"] = _mix_sql()
+
+
+def op2_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """There is no table of audio: each vector of `embeddings` stands for a recording, its values for notes."""
+    from .chroma import aligned, fingerprints, melody
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return aligned(fingerprints(vectors, "vec_id", "embedding", decode=melody), F.col("id") % 50 == 0)
