@@ -43,7 +43,7 @@ def token_bucket(n: Column) -> Column:
 
 def collapsed(text: Column) -> Column:
     """White space runs to one space, trimmed."""
-    return F.trim(F.regexp_replace(filled(text), r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(filled(text), r"[\s\u00A0]+", " "))
 
 
 def clean_line(text: Column) -> Column:
@@ -74,7 +74,7 @@ def integrity(text: Column) -> dict[str, Column]:
     size = F.greatest(F.char_length(t), F.lit(1))
     control = F.regexp_count(t, F.lit(r"[\p{Cc}&&[^\n\r\t]]"))
     symbol = F.regexp_count(t, F.lit(r"\p{S}"))
-    private = F.regexp_count(t, F.lit(r"[\p{Co}�]"))
+    private = F.regexp_count(t, F.lit(r"[\p{Co}\uFFFD]"))
     return {
         "control_chars": control.cast("long"),
         "symbol_chars": symbol.cast("long"),

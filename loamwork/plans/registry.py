@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("corpus", "sequences", "dedup", "relational", "counterfactual")
+MODULES = ("corpus", "sequences", "relational", "dedup", "acquisition", "counterfactual", "integrity")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
