@@ -10,19 +10,19 @@ boundary that is longer than the overlap), that text is encoded in one step inst
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, text_of
 
-#: Pieces that a Python worker remembers; longer ones are always merged anew.
-CACHED, CACHED_CHARS = 200_000, 48
+#: Pieces that a Python worker remembers, the first ones it meets; others and longer ones are merged anew.
+CACHED, CACHED_CHARS = 150_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -32,47 +32,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Merger(dict):
-    """Pieces (str) to their ids as little-endian unsigned 32-bit integers."""
+    """Pieces (str) to their ids as little-endian unsigned 32-bit integers; the library merges a piece's bytes."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
+        #: The pattern is not used: pieces come from the stitched pre-tokens.
+        self.ids = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.merge(piece.encode()), dtype="<u4").tobytes()
-        if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.clear()
+        ids = np.array(self.ids.encode_single_piece(piece.encode()), dtype="<u4").tobytes()
+        if len(piece) <= CACHED_CHARS and len(self) < CACHED:
             self[piece] = ids
         return ids
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Join the adjacent pair of lowest rank, the leftmost first, until none has a rank."""
-        ranks = self.ranks
-        if piece in ranks:
-            return [ranks[piece]]
-        n = len(piece)
-        follow, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        end = list(range(1, n + 1))
-
-        def pair(i: int) -> int | None:
-            j = follow[i]
-            return ranks.get(piece[i : end[j]]) if j < n else None
-
-        queue = [(r, i) for i in range(n - 1) if (r := pair(i)) is not None]
-        heapq.heapify(queue)
-        while queue:
-            rank, i = heapq.heappop(queue)
-            if not alive[i] or pair(i) != rank:
-                continue
-            j = follow[i]
-            alive[j], end[i], follow[i] = False, end[j], follow[j]
-            if follow[i] < n:
-                before[follow[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and (r := pair(k)) is not None:
-                    heapq.heappush(queue, (r, k))
-        return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
-
 
 _mergers: dict[int, Merger] = {}
 

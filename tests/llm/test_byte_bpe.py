@@ -50,4 +50,4 @@ def test_merging_equals_the_library_on_long_pieces(library):
     rng, own = random.Random(2), Merger(read_ranks(PATH))
     for alphabet in ("ab", "theraning", "éß漢"):
         piece = "".join(rng.choice(alphabet) for _ in range(3000))
-        assert own.merge(piece.encode()) == library.encode_ordinary(piece)
+        assert own[piece] == expected(library, piece)[1]
