@@ -62,10 +62,12 @@ def line_dedup(
     kept = F.when(F.col("lost").isNull(), F.col("body")).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
     )
-    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    return met.select(
-        *own,
-        kept.alias(text_col),
+    #: In a step of their own, so that no input column's name can be taken for one of these.
+    met = met.select(
+        "row",
+        kept.alias("kept"),
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"),
     )
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    return met.select(*own, F.col("kept").alias(text_col), F.col("n_lines"), F.col("n_dropped"))
