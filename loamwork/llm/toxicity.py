@@ -8,7 +8,6 @@ finds most toxic, and from the hardest and some random windows of the other text
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Words that a Python worker remembers, if no longer than this.
-CACHED, CACHED_CHARS = 300_000, 64
+#: A Python worker forgets its words once it holds more than CACHED; it scores BLOCK texts and hashes HASHED words at once.
+CACHED, BLOCK, HASHED = 300_000, 500, 10_000
 
 
 @dataclass(frozen=True)
@@ -36,7 +35,7 @@ class Settings:
     epochs: int = 16
     batch: int = 256
     rate: float = 0.3
-    rows_per_label: int = 5_000
+    rows_per_label: int = 4_000
     row_chars: int = 20_000
     seed: int = 17
 
@@ -45,13 +44,40 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def ngrams(word: str, s: Settings) -> list[int]:
-    """Buckets of the word itself and of its n-grams, with marks at its ends."""
-    marked = f"<{word}>"
-    found = [zlib.crc32(marked.encode())]
-    for n in range(s.shortest, s.longest + 1):
-        found += [zlib.crc32(marked[i : i + n].encode()) for i in range(len(marked) - n + 1)]
-    return [x % s.buckets for x in found]
+#: Multiplier and final mixer of the n-grams' polynomial hash over code points.
+FACTOR, MIXER = np.uint64(1_099_511_628_211), np.uint64(0x9E3779B97F4A7C15)
+
+
+def ngrams(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word itself and of its n-grams, with marks at its ends, and where each word's buckets end."""
+    done = [_ngrams(words[i : i + HASHED], s) for i in range(0, len(words), HASHED)]
+    if not done:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return np.concatenate([b for b, _ in done]), np.cumsum(np.concatenate([n for _, n in done]))
+
+
+def _ngrams(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and how many each word has. An n-gram is a polynomial of its code points, a word that of all its own."""
+    marked = [f"<{w}>" for w in words]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    ends = np.cumsum(size)
+    starts = ends - size
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    word = np.repeat(np.arange(len(words)), size)
+    with np.errstate(over="ignore"):
+        power = FACTOR ** np.arange(int(size.max(initial=1)), dtype=np.uint64)
+        found = [(np.add.reduceat(code * power[np.arange(len(code)) - starts[word]], starts), np.arange(len(words)))]
+        rolling = code
+        for n in range(2, s.longest + 1):
+            rolling = rolling[: max(0, len(code) - n + 1)] * FACTOR + code[n - 1 :]
+            if n >= s.shortest:
+                own = word[: len(rolling)] == word[n - 1 :]
+                found.append((rolling[own] + np.uint64(n), word[: len(rolling)][own]))
+        grams = np.concatenate([h for h, _ in found]) * MIXER >> np.uint64(33)
+    owner = np.concatenate([w for _, w in found])
+    order = np.argsort(owner, kind="stable")
+    buckets = (grams % np.uint64(s.buckets)).astype(np.int32)[order]
+    return buckets, np.bincount(owner, minlength=len(words))
 
 
 class Corpus:
@@ -64,8 +90,7 @@ class Corpus:
         self.ends = np.cumsum([len(r) for r in runs])
         self.starts = np.concatenate(([0], self.ends[:-1]))
         self.doc = np.repeat(np.arange(len(runs), dtype=np.int32), [len(r) for r in runs])
-        grams = [np.array(ngrams(w, s), np.int32) for w in numbers]
-        self.grams, self.gram_ends = np.concatenate(grams), np.cumsum([len(g) for g in grams])
+        self.grams, self.gram_ends = ngrams(list(numbers), s)
         self.gram_starts = np.concatenate(([0], self.gram_ends[:-1]))
 
     def word_scores(self, by_gram: np.ndarray) -> np.ndarray:
@@ -73,14 +98,14 @@ class Corpus:
 
     def best_windows(self, word_scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each text: where its highest window starts, and that window's mean."""
-        sums = np.concatenate(([0.0], np.cumsum(word_scores[self.words], dtype=np.float64)))
-        at = np.arange(len(self.words))
-        stop = np.minimum(at + self.s.window, self.ends[self.doc])
-        mean = (sums[stop] - sums[at]) / (stop - at)
-        mean[(stop - at < self.s.window) & (at != self.starts[self.doc])] = -np.inf
-        best = np.maximum.reduceat(mean, self.starts)
-        hit = np.flatnonzero(mean == best[self.doc])
-        return hit[np.unique(self.doc[hit], return_index=True)[1]], best
+        at, best = np.zeros(len(self.starts), np.int64), np.zeros(len(self.starts))
+        for i, (start, end) in enumerate(zip(self.starts, self.ends)):
+            sums = np.concatenate(([0.0], np.cumsum(word_scores[self.words[start:end]])))
+            n = min(self.s.window, end - start)
+            means = (sums[n:] - sums[:-n]) / n
+            k = int(means.argmax())
+            at[i], best[i] = start + k, means[k]
+        return at, best
 
 
 class SubwordSoftmax:
@@ -170,10 +195,22 @@ class Scorer:
     scale: float
     shift: float
 
-    def probability(self, texts: list[str], cache: dict) -> list[float]:
-        out = []
-        for text in texts:
-            own = np.fromiter(map(cache.__getitem__, words_of(text)), np.float64)
+    def word_scores(self, words: list[str]) -> list[float]:
+        """The mean of what a word's n-grams add to the logit."""
+        buckets, ends = ngrams(words, self.s)
+        starts = np.concatenate(([0], ends[:-1]))
+        return (np.add.reduceat(self.by_gram[buckets].astype(np.float64), starts) / (ends - starts)).tolist()
+
+    def probability(self, texts: list[str], cache: dict[str, float]) -> list[float]:
+        """cache holds words met before; the words of texts that are new are added to it."""
+        split, out = [words_of(t) for t in texts], []
+        if len(cache) > CACHED:
+            cache.clear()
+        fresh = list({w for words in split for w in words if w not in cache} | {""} - cache.keys())
+        if fresh:
+            cache.update(zip(fresh, self.word_scores(fresh)))
+        for words in split:
+            own = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
             n = min(self.s.window, len(own))
             sums = np.concatenate(([0.0], np.cumsum(own)))
             logit = self.bias + (float((sums[n:] - sums[:-n]).max()) / n if n else cache[""])
@@ -181,19 +218,6 @@ class Scorer:
         return out
 
 
-class _WordScores(dict):
-    def __init__(self, scorer: Scorer) -> None:
-        self.scorer = scorer
-
-    def __missing__(self, word: str) -> float:
-        value = float(self.scorer.by_gram[ngrams(word, self.scorer.s)].mean())
-        if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = value
-        return value
-
-
 def held_out(id_col: Column) -> Column:
     """Rows that labels are never learnt from: crc32 of the id as text is divisible by 5."""
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
@@ -251,9 +275,10 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out: str = "t
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordScores(sent.value)
+        cache: dict[str, float] = {}
         for batch in batches:
-            own = sent.value.probability([t or "" for t in batch.column(text_at).to_pylist()], cache)
+            texts = [t or "" for t in batch.column(text_at).to_pylist()]
+            own = [p for i in range(0, len(texts), BLOCK) for p in sent.value.probability(texts[i : i + BLOCK], cache)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.float64())], [*batch.schema.names, out])
 
     return rows.mapInArrow(run, f"{ddl}, `{out}` double")
