@@ -145,3 +145,9 @@ def op2_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return aligned(fingerprints(vectors, "vec_id", "embedding", decode=melody), F.col("id") % 50 == 0)
+
+
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_passages
+
+    return repeated_passages(documents(spark, sf_dir)).select("doc_id", "start", "end", "n_words", "kept_in")
