@@ -4,6 +4,7 @@ earliest ranked occurrence stays, and runs of repeated units go, with their offs
 A passage may begin and end inside a line, so the units are paragraphs that the words themselves bound: one ends
 at a word whose three-word hash is lower than those of the four words on either side. That depends on nearby words
 only, so copies of a passage have the same units but for the first and the last few words, wherever they stand.
+Where up to four words repeat again and again, no hash is the lowest; there every PERIODIC words are a unit.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .common import staged, text_of
 from .simhash import LOWER
 
 #: Words on either side that a unit's end is compared with; bytes hashed at once.
-SIDE, BLOCK = 4, 1 << 22
+SIDE, BLOCK, PERIODIC = 4, 1 << 22, 13
 #: Multiplier of the words' polynomial hash, its inverse modulo 2**64, and the mixer of neighbouring words.
 FACTOR = 1_099_511_628_211
 INVERSE, MIXER = pow(FACTOR, -1, 1 << 64), np.uint64(0x9E3779B97F4A7C15)
@@ -62,6 +63,13 @@ def unit_ends(hashes: np.ndarray) -> np.ndarray:
     low = np.ones(n, bool)
     for k in (*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1)):
         low &= window < padded[k : k + n]
+    again = np.zeros(n, bool)
+    for k in range(1, SIDE + 1):
+        again[k:] |= window[k:] == window[:-k]
+    first = np.flatnonzero(again & ~np.concatenate(([False], again[:-1])))
+    place = np.arange(n)
+    since = place - first[np.maximum(np.searchsorted(first, place, "right") - 1, 0)] if len(first) else place
+    low |= again & (since % PERIODIC == 0)
     return np.unique(np.append(np.flatnonzero(low) + 1, n))
 
 
