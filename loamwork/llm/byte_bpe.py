@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import sliced, staged, text_of
 
 #: Pieces that a Python worker remembers, the first ones it meets; others and longer ones are merged anew.
 CACHED, CACHED_CHARS = 150_000, 48
@@ -82,7 +82,7 @@ def _encode_whole(rows: DataFrame, vocabulary: _Shared, pattern: str) -> DataFra
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, pieces = _merger(vocabulary), regex.compile(pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             done = [b"".join(map(ids.__getitem__, pieces.findall(t.as_py()))) for t in batch["body"]]
             yield _replaced(batch, ["body"], token_ids=pa.array(done, pa.binary()))
 
@@ -98,7 +98,7 @@ def _pre_tokens(chunks: DataFrame, pattern: str) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = regex.compile(pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             ends = []
             for text, last in zip(batch["chunk"], batch["last"]):
                 own = [m.end() for m in pieces.finditer(text.as_py())]
@@ -114,7 +114,7 @@ def _encode_stitched(rows: DataFrame, vocabulary: _Shared) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _merger(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             done = []
             for text, ends, start, stop in zip(*(batch[c].to_pylist() for c in ("chunk", "ends", "from", "to"))):
                 stop = len(text) if stop is None else stop
@@ -212,7 +212,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, ids_col: str = "token_
         token = [b""] * (max(vocabulary.value.values(), default=-1) + 1)
         for piece, rank in vocabulary.value.items():
             token[rank] = piece
-        for batch in batches:
+        for batch in sliced(batches):
             done = [
                 None if not ids.is_valid else b"".join([token[i] for i in np.frombuffer(ids.as_py(), "<u4").tolist()])
                 for ids in batch[ids_col]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import sliced, staged
 from .simhash import fingerprint, labelled, links, sampled_tables, shingle_bytes
 
 
@@ -45,7 +45,7 @@ def without_near_duplicates(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             own = [fingerprint(t.as_py(), shingle, bits, seed) for t in batch["body"]]
             yield pa.RecordBatch.from_pydict({"id": batch["id"], "part": batch["part"], "fp": pa.array(own, pa.binary())})
 
@@ -60,7 +60,7 @@ def without_near_duplicates(
     near = staged(near.distinct(), "near-candidates")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingle_bytes(t.as_py(), shingle)], "<u8")) for t in batch["body"]]
             yield pa.RecordBatch.from_pydict({"fp": batch["fp"], "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import sliced, text_of
 
 #: A Python worker forgets its words once it holds more than CACHED; it scores BLOCK texts and hashes HASHED words at once.
-CACHED, BLOCK, HASHED = 300_000, 500, 10_000
+CACHED, BLOCK, HASHED = 200_000, 200, 10_000
 
 
 @dataclass(frozen=True)
@@ -276,9 +276,8 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text_at).to_pylist()]
-            own = [p for i in range(0, len(texts), BLOCK) for p in sent.value.probability(texts[i : i + BLOCK], cache)]
+        for batch in sliced(batches, BLOCK):
+            own = sent.value.probability([t or "" for t in batch.column(text_at).to_pylist()], cache)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.float64())], [*batch.schema.names, out])
 
     return rows.mapInArrow(run, f"{ddl}, `{out}` double")
