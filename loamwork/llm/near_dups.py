@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sliced, staged
-from .simhash import fingerprint, labelled, links, sampled_tables, shingle_bytes
+from .graph import components
+from .simhash import cross_links, fingerprint, labelled, links, sampled_tables, shingle_bytes
 
 
 def _jaccard(a: bytes, b: bytes) -> float:
@@ -36,7 +37,8 @@ def without_near_duplicates(
     Similarity is the Jaccard index of the sets of word shingles. Pairs whose fingerprints differ by at most
     what that similarity leads to (mean and 2.2 standard deviations) are candidates; bucket tables find pairs
     at the similarity itself with the probability `recall`, closer ones more surely. Candidates are verified on
-    the whole texts. Of a group the row with the smallest id stays, null ids last, repeated rows once. Texts
+    the whole texts: first a spanning forest of each long run and all pairs of the short ones, then every pair of
+    a long run that the verified links leave in different groups. Of a group the row with the smallest id stays, null ids last, repeated rows once. Texts
     without words, or null, are equal to each other. An empty table gives an empty result.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
@@ -56,8 +58,10 @@ def without_near_duplicates(
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     distance = math.ceil(bits * angle + 2.2 * math.sqrt(bits * angle * (1 - angle)))
     tables = sampled_tables(bits, similarity, recall, distinct.count())
-    near = links(distinct, tables, distance, bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    near = staged(near.distinct(), "near-candidates")
+    found = staged(links(distinct, tables, distance, bits, long_runs=True), "near-links")
+    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = staged(ordered(found.where("b IS NOT NULL")), "near-candidates")
+    members = found.where("b IS NULL").select("t", "key", "pair", F.col("a").alias("fp"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -69,14 +73,22 @@ def without_near_duplicates(
             keep = pa.array([_jaccard(x.as_py(), y.as_py()) >= similarity for x, y in zip(batch["x"], batch["y"])], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
-    nodes = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).distinct()
-    asked = distinct.join(nodes, "fp").select("fp", F.col("least.id").alias("rep"), F.col("least.part").alias("rep_part"))
     met = lambda i, p: F.col("id").eqNullSafe(F.col(i)) & (F.col("part") == F.col(p))
-    texts = rows.select("id", "part", body.alias("body")).join(asked, met("rep", "rep_part")).select("fp", "body")
-    sets = staged(texts.mapInArrow(shingles, "fp binary, shingles binary").dropDuplicates(["fp"]), "near-shingles")
-    pairs = near.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
-    pairs = pairs.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    edges = pairs.mapInArrow(verified, "a binary, b binary")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+        asked = distinct.join(nodes, "fp").select("fp", F.col("least.id").alias("rep"), F.col("least.part").alias("rep_part"))
+        texts = rows.select("id", "part", body.alias("body")).join(asked, met("rep", "rep_part")).select("fp", "body")
+        sets = staged(texts.mapInArrow(shingles, "fp binary, shingles binary").dropDuplicates(["fp"]), "near-shingles")
+        both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
+        both = both.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+        return staged(both.mapInArrow(verified, "a binary, b binary"), "near-edges")
+
+    edges = similar(near)
+    more = ordered(cross_links(members, components(edges), distance, bits)).join(near, ["a", "b"], "left_anti")
+    more = staged(more, "near-more-candidates")
+    if not more.isEmpty():
+        edges = edges.unionByName(similar(more))
     kept = labelled(distinct, edges).select("component_id.*").distinct()
     kept = kept.select(F.col("id").alias("kept_id"), F.col("part").alias("kept_part"))
     stay = rows.join(kept, met("kept_id", "kept_part")).dropDuplicates(["id", "part"])

@@ -27,6 +27,8 @@ from .graph import components
 LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 #: Reference fingerprints of a pivot table, shingles hashed at once, and the run length from which links are searched breadth first.
 PIVOTS, BLOCK, LONG_RUN = 16, 1 << 15, 9
+#: Pairs of a long run compared at once.
+PAIRS = 1 << 17
 
 
 def shingle_bytes(text: str, k: int) -> Iterator[bytes]:
@@ -138,16 +140,42 @@ def _links_of_runs(keys: np.ndarray, words: np.ndarray, distance: int) -> tuple[
     return np.concatenate(a), np.concatenate(b)
 
 
-def links(distinct: DataFrame, tables: list[list[int]], distance: int, bits: int, bucket_rows: int = 200_000) -> DataFrame:
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], width: int, columns: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    """From sorted batches: keys (t, key, pair) and the bytes of columns, such that no run of equal keys is cut."""
+    held = [np.zeros((0, 3), np.int64), *(np.zeros((0, width), np.uint8) for _ in columns)]
+    for batch in batches:
+        fresh = [np.stack([batch[c].to_numpy().astype(np.int64) for c in ("t", "key", "pair")], 1), *(_matrix(batch[c], width) for c in columns)]
+        held = [np.concatenate(x) for x in zip(held, fresh)]
+        keys = held[0]
+        if not len(keys):
+            continue
+        past = len(keys) - int(np.argmax((keys[::-1] != keys[-1]).any(1))) if (keys != keys[-1]).any() else 0
+        if past:
+            yield tuple(x[:past] for x in held)
+        held = [x[past:] for x in held]
+    if len(held[0]):
+        yield tuple(held)
+
+
+def links(
+    distinct: DataFrame, tables: list[list[int]], distance: int, bits: int, bucket_rows: int = 200_000, long_runs: bool = False
+) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints `fp` as their pairs within the distance do.
 
     A bucket of more than bucket_rows is dealt into blocks and each pair of blocks is searched on its own, so
-    a task holds at most about 2 * bucket_rows fingerprints and no link is lost.
+    a task holds at most about 2 * bucket_rows fingerprints and no link is lost. Runs of LONG_RUN or more give a
+    spanning forest only; with long_runs their members are added as rows (a, null, t, key, pair), for cross_links.
     """
     width = bits // 8
-
-    def matrix(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+    matrix = lambda column: _matrix(column, width)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,30 +205,73 @@ def links(distinct: DataFrame, tables: list[list[int]], distance: int, bits: int
         )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held = np.zeros((0, 3), np.int64), np.zeros((0, width), np.uint8)
-
-        def found(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            a, b = _links_of_runs(keys, np.ascontiguousarray(fps).view(np.uint64), distance) if len(keys) else ((), ())
-            side = lambda i: pa.array([fps[j].tobytes() for j in i], pa.binary())
-            return pa.RecordBatch.from_pydict({"a": side(a), "b": side(b)})
-
-        for batch in batches:
-            keys = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("t", "key", "pair")], 1)
-            keys, fps = np.concatenate((held_keys, keys)), np.concatenate((held, matrix(batch["fp"])))
-            if not len(keys):
+        for keys, fps in _whole_runs(batches, width, ("fp",)):
+            a, b = _links_of_runs(keys, np.ascontiguousarray(fps).view(np.uint64), distance)
+            found = {"a": _binary(fps[a]), "b": _binary(fps[b])}
+            if not long_runs:
+                yield pa.RecordBatch.from_pydict(found)
                 continue
-            past = len(keys) - int(np.argmax((keys[::-1] != keys[-1]).any(1))) if (keys != keys[-1]).any() else 0
-            held_keys, held = keys[past:], fps[past:]
-            yield found(keys[:past], fps[:past])
-        yield found(held_keys, held)
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_pydict(found | {"t": none.cast(pa.int32()), "key": none, "pair": none})
+            starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
+            sizes = np.diff(np.append(starts, len(keys)))
+            within = np.flatnonzero(np.repeat(sizes >= LONG_RUN, sizes))
+            t, key, pair = keys[within].T
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "a": _binary(fps[within]),
+                    "b": pa.nulls(len(within), pa.binary()),
+                    "t": pa.array(t.astype(np.int32)),
+                    "key": pa.array(np.ascontiguousarray(key)),
+                    "pair": pa.array(np.ascontiguousarray(pair)),
+                }
+            )
 
     return (
         placed.repartition("t", "key", "pair")
         .sortWithinPartitions("t", "key", "pair", "fp")
-        .mapInArrow(search, "a binary, b binary")
+        .mapInArrow(search, "a binary, b binary" + (", t int, key bigint, pair bigint" if long_runs else ""))
     )
 
 
+def _cross_pairs(words: np.ndarray, group: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within the distance whose groups differ, in blocks of at most PAIRS or one row against the rest."""
+    size = np.bincount(group)
+    order = np.lexsort((group, size[group]))
+    words, group, n = words[order], group[order], len(order)
+    table, place = pivot_table(words), np.arange(n)
+    past, step = n - int(size.max()), max(1, PAIRS // n)
+    for at in range(0, past, step):
+        i = place[at : min(at + step, past)]
+        a, b = np.nonzero((group[i][:, None] != group) & (place > i[:, None]))
+        got = _linked(words, table, a + at, b, distance)
+        yield order[a[got] + at], order[b[got]]
+
+
+def cross_links(members: DataFrame, roots: DataFrame, distance: int, bits: int) -> DataFrame:
+    """Every pair (a, b) of one run, within the distance and of different components, among the long runs of links.
+
+    members is (t, key, pair, fp), roots (node, root) are the components known so far. With the links of before,
+    these pairs are all that can still join components, so none is lost if a link is rejected later.
+    """
+    width = bits // 8
+    rooted = members.join(roots, members["fp"] == roots["node"], "left").select("t", "key", "pair", "fp", F.coalesce("root", "fp").alias("root"))
+    mixed = rooted.groupBy("t", "key", "pair").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    rooted = rooted.join(mixed.select("t", "key", "pair"), ["t", "key", "pair"], "left_semi")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, fps, own in _whole_runs(batches, width, ("fp", "root")):
+            group = np.unique(np.ascontiguousarray(own).view(f"V{width}").ravel(), return_inverse=True)[1].ravel()
+            words = np.ascontiguousarray(fps).view(np.uint64)
+            starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
+            for at, past in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+                for a, b in _cross_pairs(words[at:past], np.unique(group[at:past], return_inverse=True)[1].ravel(), distance):
+                    if len(a):
+                        yield pa.RecordBatch.from_pydict({"a": _binary(fps[a + at]), "b": _binary(fps[b + at])})
+
+    return rooted.repartition("t", "key", "pair").sortWithinPartitions("t", "key", "pair").mapInArrow(search, "a binary, b binary")
+
+
 def simhash_components(
     docs: DataFrame,
     id_col: str = "doc_id",

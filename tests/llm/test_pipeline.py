@@ -58,6 +58,23 @@ def test_near_duplicates_of_an_empty_table(spark):
     assert without_near_duplicates(table(spark, [])).collect() == []
 
 
+def form_letters(n=300, seed=4):
+    """Letters of 176 shared and 24 own words, similar by less than 0.8, each with an edited copy."""
+    rng = random.Random(seed)
+    shared, rows = [f"s{rng.randrange(5000)}" for _ in range(176)], []
+    for i in range(n):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(24)]
+        rows.append((2 * i, " ".join(shared + own), "en", "s", 1))
+        rows.append((2 * i + 1, " ".join(shared + own[:-1] + ["edited"]), "en", "s", 1))
+    return rows
+
+
+def test_a_rejected_link_of_a_long_run_loses_no_pair(spark):
+    rows = form_letters()
+    assert len(brute_groups(rows)) == 300
+    assert sorted(k.doc_id for k in without_near_duplicates(table(spark, rows)).collect()) == list(range(0, 600, 2))
+
+
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
     """A table with toxic and clean documents, labels, and repeated lines."""
