@@ -15,6 +15,9 @@ from .common import sliced, staged
 from .graph import components
 from .simhash import cross_links, fingerprint, labelled, links, sampled_tables, shingle_bytes
 
+#: Bytes of a node past its fingerprint: the digest of its shingle set.
+REST = 8
+
 
 def _jaccard(a: bytes, b: bytes) -> float:
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
@@ -22,6 +25,16 @@ def _jaccard(a: bytes, b: bytes) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
+def _set_of(text: str, k: int) -> np.ndarray:
+    """The set of the text's shingles as sorted 64-bit hashes."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingle_bytes(text, k)], "<u8"))
+
+
+def _node(text: str, k: int, bits: int, seed: int) -> bytes:
+    """The fingerprint and a digest of the shingle set: texts of one node are similar by 1."""
+    return fingerprint(text, k, bits, seed) + xxhash.xxh3_64_digest(_set_of(text, k).tobytes())
+
+
 def without_near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -38,7 +51,8 @@ def without_near_duplicates(
     what that similarity leads to (mean and 2.2 standard deviations) are candidates; bucket tables find pairs
     at the similarity itself with the probability `recall`, closer ones more surely. Candidates are verified on
     the whole texts: first a spanning forest of each long run and all pairs of the short ones, then every pair of
-    a long run that the verified links leave in different groups. Of a group the row with the smallest id stays, null ids last, repeated rows once. Texts
+    a long run that the verified links leave in different groups. Only texts of equal shingle sets are one node;
+    others of equal fingerprints are candidates like any. Of a group the row with the smallest id stays, null ids last, repeated rows once. Texts
     without words, or null, are equal to each other. An empty table gives an empty result.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
@@ -48,7 +62,7 @@ def without_near_duplicates(
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            own = [fingerprint(t.as_py(), shingle, bits, seed) for t in batch["body"]]
+            own = [_node(t.as_py(), shingle, bits, seed) for t in batch["body"]]
             yield pa.RecordBatch.from_pydict({"id": batch["id"], "part": batch["part"], "fp": pa.array(own, pa.binary())})
 
     own = rows.select("id", "part", body.alias("body")).mapInArrow(prints, f"id {kind}, part bigint, fp binary")
@@ -58,14 +72,14 @@ def without_near_duplicates(
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     distance = math.ceil(bits * angle + 2.2 * math.sqrt(bits * angle * (1 - angle)))
     tables = sampled_tables(bits, similarity, recall, distinct.count())
-    found = staged(links(distinct, tables, distance, bits, long_runs=True), "near-links")
+    found = staged(links(distinct, tables, distance, bits, long_runs=True, rest=REST), "near-links")
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = staged(ordered(found.where("b IS NOT NULL")), "near-candidates")
     members = found.where("b IS NULL").select("t", "key", "pair", F.col("a").alias("fp"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sets = [np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingle_bytes(t.as_py(), shingle)], "<u8")) for t in batch["body"]]
+            sets = [_set_of(t.as_py(), shingle) for t in batch["body"]]
             yield pa.RecordBatch.from_pydict({"fp": batch["fp"], "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +99,7 @@ def without_near_duplicates(
         return staged(both.mapInArrow(verified, "a binary, b binary"), "near-edges")
 
     edges = similar(near)
-    more = ordered(cross_links(members, components(edges), distance, bits)).join(near, ["a", "b"], "left_anti")
+    more = ordered(cross_links(members, components(edges), distance, bits, REST)).join(near, ["a", "b"], "left_anti")
     more = staged(more, "near-more-candidates")
     if not more.isEmpty():
         edges = edges.unionByName(similar(more))

@@ -144,6 +144,11 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
+def _words(rows: np.ndarray, bits: int) -> np.ndarray:
+    """The fingerprints at the start of rows, as 64-bit words."""
+    return np.ascontiguousarray(rows[:, : bits // 8]).view(np.uint64)
+
+
 def _binary(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
@@ -166,20 +171,20 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], width: int, columns: tuple[st
 
 
 def links(
-    distinct: DataFrame, tables: list[list[int]], distance: int, bits: int, bucket_rows: int = 200_000, long_runs: bool = False
+    distinct: DataFrame, tables: list[list[int]], distance: int, bits: int, bucket_rows: int = 200_000, long_runs: bool = False, rest: int = 0
 ) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints `fp` as their pairs within the distance do.
 
+    Bytes of fp past the fingerprint's bits tell nodes of equal fingerprints apart; rest is their number.
     A bucket of more than bucket_rows is dealt into blocks and each pair of blocks is searched on its own, so
     a task holds at most about 2 * bucket_rows fingerprints and no link is lost. Runs of LONG_RUN or more give a
     spanning forest only; with long_runs their members are added as rows (a, null, t, key, pair), for cross_links.
     """
-    width = bits // 8
-    matrix = lambda column: _matrix(column, width)
+    width = bits // 8 + rest
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit, n = np.unpackbits(matrix(batch["fp"]), axis=1), batch.num_rows
+            bit, n = np.unpackbits(_matrix(batch["fp"], width)[:, : bits // 8], axis=1), batch.num_rows
             for t, chosen in enumerate(tables):
                 key = np.zeros((n, 64), np.uint8)
                 key[:, 64 - min(64, len(chosen)) :] = bit[:, chosen[:64]]
@@ -206,7 +211,7 @@ def links(
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, fps in _whole_runs(batches, width, ("fp",)):
-            a, b = _links_of_runs(keys, np.ascontiguousarray(fps).view(np.uint64), distance)
+            a, b = _links_of_runs(keys, _words(fps, bits), distance)
             found = {"a": _binary(fps[a]), "b": _binary(fps[b])}
             if not long_runs:
                 yield pa.RecordBatch.from_pydict(found)
@@ -248,13 +253,13 @@ def _cross_pairs(words: np.ndarray, group: np.ndarray, distance: int) -> Iterato
         yield order[a[got] + at], order[b[got]]
 
 
-def cross_links(members: DataFrame, roots: DataFrame, distance: int, bits: int) -> DataFrame:
+def cross_links(members: DataFrame, roots: DataFrame, distance: int, bits: int, rest: int = 0) -> DataFrame:
     """Every pair (a, b) of one run, within the distance and of different components, among the long runs of links.
 
     members is (t, key, pair, fp), roots (node, root) are the components known so far. With the links of before,
     these pairs are all that can still join components, so none is lost if a link is rejected later.
     """
-    width = bits // 8
+    width = bits // 8 + rest
     rooted = members.join(roots, members["fp"] == roots["node"], "left").select("t", "key", "pair", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = rooted.groupBy("t", "key", "pair").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
     rooted = rooted.join(mixed.select("t", "key", "pair"), ["t", "key", "pair"], "left_semi")
@@ -262,7 +267,7 @@ def cross_links(members: DataFrame, roots: DataFrame, distance: int, bits: int)
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, fps, own in _whole_runs(batches, width, ("fp", "root")):
             group = np.unique(np.ascontiguousarray(own).view(f"V{width}").ravel(), return_inverse=True)[1].ravel()
-            words = np.ascontiguousarray(fps).view(np.uint64)
+            words = _words(fps, bits)
             starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
             for at, past in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
                 for a, b in _cross_pairs(words[at:past], np.unique(group[at:past], return_inverse=True)[1].ravel(), distance):

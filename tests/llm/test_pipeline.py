@@ -75,6 +75,16 @@ def test_a_rejected_link_of_a_long_run_loses_no_pair(spark):
     assert sorted(k.doc_id for k in without_near_duplicates(table(spark, rows)).collect()) == list(range(0, 600, 2))
 
 
+def test_unlike_texts_of_equal_fingerprints_stay(spark):
+    rng, rows = random.Random(6), []
+    for i in range(12):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        rows.append((2 * i, " ".join(own + ["x"] * 400), "en", "s", 1))
+        rows.append((2 * i + 1, " ".join(own[:-1] + ["edited"] + ["x"] * 300), "en", "s", 1))
+    assert len(brute_groups(rows)) == 12
+    assert sorted(k.doc_id for k in without_near_duplicates(table(spark, rows)).collect()) == list(range(0, 24, 2))
+
+
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
     """A table with toxic and clean documents, labels, and repeated lines."""
