@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import sliced, staged
 from .graph import components
-from .simhash import cross_links, fingerprint, labelled, links, sampled_tables, shingle_bytes
+from .simhash import BLOCK, cross_links, labelled, links, sampled_tables, shingle_bytes
 
 #: Bytes of a node past its fingerprint: the digest of its shingle set.
 REST = 8
@@ -25,14 +26,30 @@ def _jaccard(a: bytes, b: bytes) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def _set_of(text: str, k: int) -> np.ndarray:
-    """The set of the text's shingles as sorted 64-bit hashes."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingle_bytes(text, k)], "<u8"))
+def _hashes(text: str, k: int, seeds: Sequence[int]) -> list[np.ndarray]:
+    """For each seed the 64-bit hashes of the set of the text's shingles, in order of the first seed's hashes."""
+    shingles, each = shingle_bytes(text, k), [[np.zeros(0, "<u8")] for _ in seeds]
+    while block := list(islice(shingles, BLOCK)):
+        for own, seed in zip(each, seeds):
+            own.append(np.array([xxhash.xxh64_intdigest(s, seed) for s in block], "<u8"))
+    first, at = np.unique(np.concatenate(each[0]), return_index=True)
+    return [first, *(np.concatenate(own)[at] for own in each[1:])]
 
 
 def _node(text: str, k: int, bits: int, seed: int) -> bytes:
-    """The fingerprint and a digest of the shingle set: texts of one node are similar by 1."""
-    return fingerprint(text, k, bits, seed) + xxhash.xxh3_64_digest(_set_of(text, k).tobytes())
+    """The fingerprint of the shingle set, each shingle once, and the set's digest: texts of one node are similar by 1."""
+    hashes, counts = _hashes(text, k, range(seed, seed + bits // 64)), np.zeros(bits, np.int64)
+    for j, own in enumerate(hashes):
+        for at in range(0, len(own), BLOCK):
+            rows = np.unpackbits(own[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            counts[64 * j : 64 * (j + 1)] += rows.sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes[0])).tobytes() + xxhash.xxh3_64_digest(hashes[0].tobytes())
+
+
+def distance_limit(bits: int, similarity: float) -> int:
+    """Mean and 2.2 standard deviations of the distance at which sets of this similarity have their fingerprints."""
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * angle + 2.2 * math.sqrt(bits * angle * (1 - angle)))
 
 
 def without_near_duplicates(
@@ -47,13 +64,14 @@ def without_near_duplicates(
 ) -> DataFrame:
     """The input rows, one of each group: groups are connected by pairs of at least this similarity.
 
-    Similarity is the Jaccard index of the sets of word shingles. Pairs whose fingerprints differ by at most
-    what that similarity leads to (mean and 2.2 standard deviations) are candidates; bucket tables find pairs
-    at the similarity itself with the probability `recall`, closer ones more surely. Candidates are verified on
-    the whole texts: first a spanning forest of each long run and all pairs of the short ones, then every pair of
-    a long run that the verified links leave in different groups. Only texts of equal shingle sets are one node;
-    others of equal fingerprints are candidates like any. Of a group the row with the smallest id stays, null ids last, repeated rows once. Texts
-    without words, or null, are equal to each other. An empty table gives an empty result.
+    Similarity is the Jaccard index of the sets of word shingles, and fingerprints are of the same sets, whatever
+    repeats. Pairs whose fingerprints differ by at most distance_limit and that meet in a bucket table are
+    candidates; both together find pairs at the similarity itself with the probability `recall`, closer ones more
+    surely. Candidates are verified on the whole texts: first a spanning forest of
+    each long run and all pairs of the short ones, then every pair of a long run that the verified links leave in
+    different groups. Only texts of equal shingle sets are one node; others of equal fingerprints are candidates
+    like any. Of a group the row with the smallest id stays, null ids last, repeated rows once. Texts without words,
+    or null, are equal to each other. An empty table gives an empty result.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     rows = rows.select("row", F.col("row")[id_col].alias("id"), F.xxhash64(F.coalesce(F.col("row")[text_col], F.lit(""))).alias("part"))
@@ -69,9 +87,8 @@ def without_near_duplicates(
     own = staged(own, "near-fingerprints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "part"))
     distinct = staged(own.groupBy("fp").agg(first.alias("least")), "near-distinct")
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    distance = math.ceil(bits * angle + 2.2 * math.sqrt(bits * angle * (1 - angle)))
-    tables = sampled_tables(bits, similarity, recall, distinct.count())
+    distance = distance_limit(bits, similarity)
+    tables = sampled_tables(bits, similarity, recall, distinct.count(), distance)
     found = staged(links(distinct, tables, distance, bits, long_runs=True, rest=REST), "near-links")
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = staged(ordered(found.where("b IS NOT NULL")), "near-candidates")
@@ -79,7 +96,7 @@ def without_near_duplicates(
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sets = [_set_of(t.as_py(), shingle) for t in batch["body"]]
+            sets = [_hashes(t.as_py(), shingle, (0,))[0] for t in batch["body"]]
             yield pa.RecordBatch.from_pydict({"fp": batch["fp"], "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

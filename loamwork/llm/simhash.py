@@ -79,15 +79,23 @@ def exact_tables(bits: int, distance: int, rows: int) -> list[list[int]]:
     return [sum(chosen, []) for chosen in combinations(blocks, c)]
 
 
-def sampled_tables(bits: int, similarity: float, recall: float, rows: int) -> list[list[int]]:
-    """Random bits for each table: pairs of this Jaccard similarity meet with the probability recall."""
-    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+def sampled_tables(bits: int, similarity: float, recall: float, rows: int, limit: int) -> list[list[int]]:
+    """Random bits for each table: pairs of this Jaccard similarity are within limit and meet with the probability recall.
+
+    The distance of such a pair is binomial, and far pairs meet in fewer tables, so their number comes from the sum
+    over all distances; a table for the mean distance only would promise too much.
+    """
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     size = max(16, math.ceil(math.log2(max(rows, 2))) - 2)
+    chance = np.array([math.comb(bits, d) * angle**d * (1 - angle) ** (bits - d) for d in range(limit + 1)])
+    apart = np.array([1 - math.comb(bits - d, size) / math.comb(bits, size) for d in range(limit + 1)])
+    if chance.sum() <= recall:
+        raise ValueError("so few pairs are within the limit that no number of tables reaches the recall")
+    number = 1
+    while (chance * (1 - apart**number)).sum() < recall:
+        number += 1
     draw = np.random.default_rng(7)
-    return [
-        sorted(draw.choice(bits, size, replace=False).tolist())
-        for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree**size)))
-    ]
+    return [sorted(draw.choice(bits, size, replace=False).tolist()) for _ in range(number)]
 
 
 def pivot_table(words: np.ndarray) -> np.ndarray:
