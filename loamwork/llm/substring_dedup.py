@@ -96,10 +96,11 @@ def units_of(text: str) -> list[tuple[int, int, int, bytes]]:
     ]
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, within: bool = False) -> DataFrame:
     """One row for each passage to remove: doc_id, part, start, end, n_words, kept_in.
 
-    A unit is repeated if a document with a smaller id has its digest; runs of repeated units of at least
+    A unit is repeated if a document with a smaller id has its digest, or with `within` if it is any but the first
+    occurrence by (doc_id, part, place), so that repeats inside a document go too and kept_in may be its own id; runs of repeated units of at least
     min_words words together are passages. start and end are code points in the original text; kept_in is the first
     of the documents in which their units stay; part is a hash of the text, which tells
     rows of the same id apart. A passage's first and last few words may stay, as units begin and end a few words
@@ -135,9 +136,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = rows.schema["doc_id"].dataType.simpleString()
     units = rows.mapInArrow(run, f"doc_id {kind}, part bigint, i int, start int, end int, words int, digest binary")
     units = staged(units, "passage-units")
-    shared = units.groupBy("digest").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("none"))
-    shared = staged(shared.where("kept_in < last OR (none AND kept_in IS NOT NULL)").select("digest", "kept_in"), "shared-units")
-    repeated = units.join(shared, "digest").where(~F.col("doc_id").eqNullSafe(F.col("kept_in"))).drop("digest").distinct()
+    if within:
+        spot = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "part", "i")
+        shared = units.groupBy("digest").agg(F.min(spot).alias("first"), F.max(spot).alias("last"))
+        shared = staged(shared.where("first <> last").select("digest", "first"), "shared-units")
+        repeated = units.join(shared, "digest").where(spot != F.col("first")).withColumn("kept_in", F.col("first.doc_id"))
+        repeated = repeated.drop("digest", "first").distinct()
+    else:
+        shared = units.groupBy("digest").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("none"))
+        shared = staged(shared.where("kept_in < last OR (none AND kept_in IS NOT NULL)").select("digest", "kept_in"), "shared-units")
+        repeated = units.join(shared, "digest").where(~F.col("doc_id").eqNullSafe(F.col("kept_in"))).drop("digest").distinct()
     place = F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("i"))
     runs = repeated.withColumn("run", F.col("i") - place).groupBy("doc_id", "part", "run")
     passages = runs.agg(
@@ -146,10 +154,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return passages.where(F.col("n_words") >= min_words).drop("run")
 
 
-def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25) -> DataFrame:
+def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, within: bool = False) -> DataFrame:
     """The input rows with the repeated passages cut out of text_col, and column removed: array of (start, end) in
     the original text. A column named removed in the input is replaced; other columns pass unchanged."""
-    gone = repeated_passages(docs, id_col, text_col, min_words).groupBy("doc_id", "part")
+    gone = repeated_passages(docs, id_col, text_col, min_words, within).groupBy("doc_id", "part")
     gone = gone.agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone")).withColumnsRenamed({"doc_id": "gone_id", "part": "gone_part"})
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     rows = rows.select("row", F.col("row")[id_col].alias("id"), F.coalesce(F.col("row")[text_col], F.lit("")).alias("body"))

@@ -1,8 +1,10 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
+from loamwork.llm import contract
 from loamwork.llm.substring_dedup import repeated_passages, unit_ends, units_of, without_passages, word_places
 
 from .cases import awkward, norm, table
@@ -91,3 +93,23 @@ def test_awkward_rows_copies_and_empty_table(spark):
     gone = {r.doc_id: r.text for r in without_passages(table(spark, copies)).collect()}
     assert gone[0] == copies[0][1] and {gone[i].strip() for i in (1, 2, 3)} == {""}
     assert repeated_passages(table(spark, [])).collect() == []
+
+
+def test_within_keeps_the_first_occurrence_only(spark):
+    rng = random.Random(5)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    again, a, b, c = prose(120), prose(60), prose(60), prose(60)
+    rows = [(1, " ".join([a, again, b, again, c, again]), "en", "s", 1), (2, f"{again} {prose(60)}", "en", "s", 1), (3, prose(200), "en", "s", 1)]
+    rows += [rows[0], (None, f"{again} {prose(60)} {again}", "en", "s", 1)]
+    assert not [g for g in repeated_passages(table(spark, rows)).collect() if g.doc_id == 1]
+    got = repeated_passages(table(spark, rows), within=True).collect()
+    assert Counter(g.doc_id for g in got) == {1: 2, 2: 1, None: 2} and {g.kept_in for g in got} == {1}
+    assert all(120 - 26 <= g.n_words <= 120 for g in got)
+    first = len(f"{a} {again}")
+    assert all(g.start >= first for g in got if g.doc_id == 1)
+
+
+def test_the_query_drops_repeats_inside_a_document(spark, tmp_path):
+    again = " ".join(f"w{i * i % 9973}" for i in range(120))
+    spark.createDataFrame([(1, f"start {again} middle {again} end")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [g.doc_id for g in contract.op8_passage_dedup(spark, str(tmp_path)).collect()] == [1]
