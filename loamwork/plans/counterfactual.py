@@ -40,7 +40,7 @@ def mock_counterfactuals(spark, sf_dir):
 
 @query()
 def hybrid_sequences(spark, sf_dir):
-    pool = F.slice(lines_of(F.col("text")), 1, 9)
+    pool = lines_of(F.col("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "role", F.struct("turn", pool.alias("ls")).alias("x"))
     of = lambda role: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("x")))), lambda x: x["ls"]))
     pools = turns.groupBy("conv_id").agg(of("user").alias("h"), of("system").alias("p"), of("assistant").alias("g"))

@@ -85,6 +85,13 @@ def counter_delta(spark, sf_dir):
     return R.delta(now, before, "event_type", "count")
 
 
+@query("""WITH a AS (SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1), b AS (SELECT event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1)
+SELECT event_type, coalesce(a.n, 0) AS now, coalesce(b.n, 0) AS before, coalesce(a.n, 0) - coalesce(b.n, 0) AS change FROM a FULL JOIN b USING (event_type)""")
+def counter_delta_by_time(spark, sf_dir):
+    events, late = table(spark, sf_dir, "events").select("event_type", "ts"), F.col("ts") >= "2024-01-16"
+    return R.delta(events.where(late).groupBy("event_type").count(), events.where(~late).groupBy("event_type").count(), "event_type", "count")
+
+
 @query("""WITH s AS (SELECT doc_id, 'documents_' || CASE WHEN quality = 0 THEN 'excluded' WHEN quality = 1 THEN 'active' ELSE 'reviewed' END AS what FROM documents LEFT JOIN labels USING (doc_id)
  UNION ALL SELECT conv_id, 'turns_' || CASE WHEN role = 'system' THEN 'excluded' WHEN role = 'user' THEN 'active' ELSE 'reviewed' END FROM conversations)
 SELECT doc_id, count(*) FILTER (what = 'documents_excluded') AS documents_excluded, count(*) FILTER (what = 'documents_reviewed') AS documents_reviewed, count(*) FILTER (what = 'documents_active') AS documents_active,
@@ -112,6 +119,14 @@ def gathered_turns(spark, sf_dir):
     return got.select("conv_id", F.array_join("role", ",").alias("role"))
 
 
+@query("""SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS role FROM conversations GROUP BY conv_id""")
+def all_gathered_turns(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "role", F.struct("conv_id", "turn").alias("id"))
+    wanted = turns.groupBy("conv_id").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    got = J.gather(wanted, "ids", turns.drop("conv_id"), "id", "conv_id", "role")
+    return got.select("conv_id", F.array_join("role", ",").alias("role"))
+
+
 @query("""SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def nation_revenue(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))

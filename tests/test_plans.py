@@ -48,3 +48,13 @@ def test_row_local_queries_do_not_shuffle(spark, name):
 def test_joins_have_keys(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_hybrid_sequences_take_all_lines_and_gathering_all_turns(spark, tmp_path):
+    text = lambda c: "\n".join(f"{c} line {i}" for i in range(30))
+    rows = [(i, t, r, text(r)) for i in range(40) for t, r in enumerate(["user", "assistant"] * 3 + ["system"])]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [r for r in registry.queries()["hybrid_sequences"](spark, str(tmp_path)).collect() if r.recipe == "h_g_h"]
+    assert got and all(r.label_sequence.count("H") == 90 and r.label_sequence.count("G") == 45 for r in got)
+    turns = registry.queries()["all_gathered_turns"](spark, str(tmp_path)).collect()
+    assert len(turns) == 40 and all(r.role == ",".join(["user", "assistant"] * 3 + ["system"]) for r in turns)
