@@ -5,8 +5,7 @@ to fixed reference fingerprints (pivots). By the triangle inequality no two fing
 largest difference in any coordinate, so pairs beyond it are discarded and only survivors are compared.
 
 Buckets are exact for small distances: with d + c blocks of bits, two fingerprints within d bits agree on some c
-blocks, so there is a table for each choice of c blocks (c is 2, or more for over 2**24 fingerprints). For larger distances each table takes a random choice
-of bits, as many tables as the recall asked for needs.
+blocks, so there is a table for each choice of c blocks (c is 2, or more for over 2**24 fingerprints).
 """
 
 from __future__ import annotations
@@ -25,10 +24,8 @@ from .common import UPPER, staged, text_of
 from .graph import components
 
 LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
-#: Reference fingerprints of a pivot table, shingles hashed at once, and the run length from which links are searched breadth first.
+#: Reference fingerprints of a pivot table, shingles hashed at once, and the run length from which links are a spanning forest.
 PIVOTS, BLOCK, LONG_RUN = 16, 1 << 15, 9
-#: Pairs of a long run compared at once.
-PAIRS = 1 << 17
 
 
 def shingle_bytes(text: str, k: int) -> Iterator[bytes]:
@@ -79,47 +76,28 @@ def exact_tables(bits: int, distance: int, rows: int) -> list[list[int]]:
     return [sum(chosen, []) for chosen in combinations(blocks, c)]
 
 
-def sampled_tables(bits: int, similarity: float, recall: float, rows: int, limit: int) -> list[list[int]]:
-    """Random bits for each table: pairs of this Jaccard similarity are within limit and meet with the probability recall.
-
-    The distance of such a pair is binomial, and far pairs meet in fewer tables, so their number comes from the sum
-    over all distances; a table for the mean distance only would promise too much.
-    """
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    size = max(16, math.ceil(math.log2(max(rows, 2))) - 2)
-    chance = np.array([math.comb(bits, d) * angle**d * (1 - angle) ** (bits - d) for d in range(limit + 1)])
-    apart = np.array([1 - math.comb(bits - d, size) / math.comb(bits, size) for d in range(limit + 1)])
-    if chance.sum() <= recall:
-        raise ValueError("so few pairs are within the limit that no number of tables reaches the recall")
-    number = 1
-    while (chance * (1 - apart**number)).sum() < recall:
-        number += 1
-    draw = np.random.default_rng(7)
-    return [sorted(draw.choice(bits, size, replace=False).tolist()) for _ in range(number)]
-
-
 def pivot_table(words: np.ndarray) -> np.ndarray:
     """Hamming distances of fingerprints (rows of 64-bit words) to the reference fingerprints."""
     pivots = np.random.default_rng(11).integers(0, 2**64, (PIVOTS, words.shape[1]), np.uint64)
     return np.stack([np.bitwise_count(words ^ p).sum(1, dtype=np.int16) for p in pivots], 1)
 
 
-def _linked(words: np.ndarray, table: np.ndarray, a, b, distance: int) -> np.ndarray:
-    """Which of the pairs (a, b) are within the distance: pivots first, survivors verified."""
+def linked(words: np.ndarray, table: np.ndarray, a, b, distance) -> np.ndarray:
+    """Which of the pairs (a, b) are within the distance (one for all, or one each): pivots first, survivors verified."""
     near = np.abs(table[a] - table[b]).max(1) <= distance
-    a, b = np.broadcast_arrays(a, b)
-    near[near] = np.bitwise_count(words[a[near]] ^ words[b[near]]).sum(1) <= distance
+    a, b, distance = np.broadcast_arrays(a, b, distance)
+    near[near] = np.bitwise_count(words[a[near]] ^ words[b[near]]).sum(1) <= distance[near]
     return near
 
 
 def _forest(words: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links among words, breadth first: at most one edge for each fingerprint."""
+    """A spanning forest of the links among words, depth first: at most one edge for each fingerprint."""
     table, rest, a, b = pivot_table(words), np.arange(len(words)), [], []
     while len(rest):
         front, rest = [int(rest[0])], rest[1:]
         while front and len(rest):
-            x = front.pop(0)
-            got = _linked(words, table, np.array([x]), rest, distance)
+            x = front.pop()
+            got = linked(words, table, np.array([x]), rest, distance)
             found, rest = rest[got].tolist(), rest[~got]
             a += [x] * len(found)
             b += found
@@ -138,7 +116,7 @@ def _links_of_runs(keys: np.ndarray, words: np.ndarray, distance: int) -> tuple[
         table, own, held = pivot_table(words[some]), words[some], run[some]
         for lag in range(1, LONG_RUN - 1):
             i = np.flatnonzero(held[lag:] == held[:-lag])
-            i = i[_linked(own, table, i, i + lag, distance)] if len(i) else i
+            i = i[linked(own, table, i, i + lag, distance)] if len(i) else i
             a.append(some[i])
             b.append(some[i + lag])
     for at, size in zip(starts[sizes >= LONG_RUN], sizes[sizes >= LONG_RUN]):
@@ -152,11 +130,6 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _words(rows: np.ndarray, bits: int) -> np.ndarray:
-    """The fingerprints at the start of rows, as 64-bit words."""
-    return np.ascontiguousarray(rows[:, : bits // 8]).view(np.uint64)
-
-
 def _binary(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
@@ -178,21 +151,18 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], width: int, columns: tuple[st
         yield tuple(held)
 
 
-def links(
-    distinct: DataFrame, tables: list[list[int]], distance: int, bits: int, bucket_rows: int = 200_000, long_runs: bool = False, rest: int = 0
-) -> DataFrame:
+def links(distinct: DataFrame, tables: list[list[int]], distance: int, bits: int, bucket_rows: int = 200_000) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints `fp` as their pairs within the distance do.
 
-    Bytes of fp past the fingerprint's bits tell nodes of equal fingerprints apart; rest is their number.
     A bucket of more than bucket_rows is dealt into blocks and each pair of blocks is searched on its own, so
     a task holds at most about 2 * bucket_rows fingerprints and no link is lost. Runs of LONG_RUN or more give a
-    spanning forest only; with long_runs their members are added as rows (a, null, t, key, pair), for cross_links.
+    spanning forest only, which connects all that is linked.
     """
-    width = bits // 8 + rest
+    width = bits // 8
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit, n = np.unpackbits(_matrix(batch["fp"], width)[:, : bits // 8], axis=1), batch.num_rows
+            bit, n = np.unpackbits(_matrix(batch["fp"], width), axis=1), batch.num_rows
             for t, chosen in enumerate(tables):
                 key = np.zeros((n, 64), np.uint8)
                 key[:, 64 - min(64, len(chosen)) :] = bit[:, chosen[:64]]
@@ -219,72 +189,16 @@ def links(
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, fps in _whole_runs(batches, width, ("fp",)):
-            a, b = _links_of_runs(keys, _words(fps, bits), distance)
-            found = {"a": _binary(fps[a]), "b": _binary(fps[b])}
-            if not long_runs:
-                yield pa.RecordBatch.from_pydict(found)
-                continue
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_pydict(found | {"t": none.cast(pa.int32()), "key": none, "pair": none})
-            starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
-            sizes = np.diff(np.append(starts, len(keys)))
-            within = np.flatnonzero(np.repeat(sizes >= LONG_RUN, sizes))
-            t, key, pair = keys[within].T
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "a": _binary(fps[within]),
-                    "b": pa.nulls(len(within), pa.binary()),
-                    "t": pa.array(t.astype(np.int32)),
-                    "key": pa.array(np.ascontiguousarray(key)),
-                    "pair": pa.array(np.ascontiguousarray(pair)),
-                }
-            )
+            a, b = _links_of_runs(keys, np.ascontiguousarray(fps).view(np.uint64), distance)
+            yield pa.RecordBatch.from_pydict({"a": _binary(fps[a]), "b": _binary(fps[b])})
 
     return (
         placed.repartition("t", "key", "pair")
         .sortWithinPartitions("t", "key", "pair", "fp")
-        .mapInArrow(search, "a binary, b binary" + (", t int, key bigint, pair bigint" if long_runs else ""))
+        .mapInArrow(search, "a binary, b binary")
     )
 
 
-def _cross_pairs(words: np.ndarray, group: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs within the distance whose groups differ, in blocks of at most PAIRS or one row against the rest."""
-    size = np.bincount(group)
-    order = np.lexsort((group, size[group]))
-    words, group, n = words[order], group[order], len(order)
-    table, place = pivot_table(words), np.arange(n)
-    past, step = n - int(size.max()), max(1, PAIRS // n)
-    for at in range(0, past, step):
-        i = place[at : min(at + step, past)]
-        a, b = np.nonzero((group[i][:, None] != group) & (place > i[:, None]))
-        got = _linked(words, table, a + at, b, distance)
-        yield order[a[got] + at], order[b[got]]
-
-
-def cross_links(members: DataFrame, roots: DataFrame, distance: int, bits: int, rest: int = 0) -> DataFrame:
-    """Every pair (a, b) of one run, within the distance and of different components, among the long runs of links.
-
-    members is (t, key, pair, fp), roots (node, root) are the components known so far. With the links of before,
-    these pairs are all that can still join components, so none is lost if a link is rejected later.
-    """
-    width = bits // 8 + rest
-    rooted = members.join(roots, members["fp"] == roots["node"], "left").select("t", "key", "pair", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = rooted.groupBy("t", "key", "pair").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    rooted = rooted.join(mixed.select("t", "key", "pair"), ["t", "key", "pair"], "left_semi")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, fps, own in _whole_runs(batches, width, ("fp", "root")):
-            group = np.unique(np.ascontiguousarray(own).view(f"V{width}").ravel(), return_inverse=True)[1].ravel()
-            words = _words(fps, bits)
-            starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
-            for at, past in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
-                for a, b in _cross_pairs(words[at:past], np.unique(group[at:past], return_inverse=True)[1].ravel(), distance):
-                    if len(a):
-                        yield pa.RecordBatch.from_pydict({"a": _binary(fps[a + at]), "b": _binary(fps[b + at])})
-
-    return rooted.repartition("t", "key", "pair").sortWithinPartitions("t", "key", "pair").mapInArrow(search, "a binary, b binary")
-
-
 def simhash_components(
     docs: DataFrame,
     id_col: str = "doc_id",

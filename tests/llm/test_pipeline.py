@@ -5,10 +5,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loamwork.llm.near_dups import _node, distance_limit, without_near_duplicates
-from loamwork.llm.simhash import sampled_tables, shingle_bytes
+from loamwork.llm.near_dups import bands, dealt, fingerprint, limits, run_joins, shingle_set, without_near_duplicates
+from loamwork.llm.simhash import shingle_bytes
 
 from .cases import SCHEMA, awkward, table
 
@@ -95,28 +96,78 @@ def test_repeats_do_not_hide_a_near_duplicate(spark):
     assert sorted(k.doc_id for k in without_near_duplicates(table(spark, rows)).collect()) == list(range(0, 24, 2))
 
 
-def joint_recall(rows, n=1000, seed=9):
-    """Share of pairs of Jaccard 0.8 to 0.81 that are candidates, by limit and bucket tables for so many rows."""
-    rng, limit, found, met, near, done = random.Random(seed), distance_limit(128, 0.8), 0, 0, 0, 0
-    tables = sampled_tables(128, 0.8, 0.97, rows, limit)
-    while done < n:
-        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(150, 400))]
-        copy = list(own)
-        while len(x := shingles(" ".join(own))) and (j := len(x & (y := shingles(" ".join(copy)))) / len(x | y)) > 0.81:
-            copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
-        if j < 0.8:
-            continue
-        done += 1
-        texts = [" ".join(own), " ".join(copy + copy[-1:] * 90 * (done % 2))]
-        bits = [np.unpackbits(np.frombuffer(_node(t, 5, 128, 42)[:16], np.uint8)) for t in texts]
-        close, meet = (bits[0] != bits[1]).sum() <= limit, any((bits[0][t] == bits[1][t]).all() for t in tables)
-        near, met, found = near + close, met + meet, found + (close and meet)
-    return near / n, met / n, found / n
-
-
-@pytest.mark.parametrize("rows", [10**4, 10**6])
-def test_joint_recall_of_limit_and_buckets(rows):
-    assert joint_recall(rows)[2] >= 0.955  # 0.97 less about three standard errors of 1000 pairs
+def similar_pair(rng, least, most):
+    """Two texts of Jaccard 0.8 to 0.86 by edits and additions (short texts have few values to take)."""
+    while True:
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(least, most))]
+        copy, j = list(own), 1.0
+        while j > 0.86:
+            if rng.random() < 0.5:
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            else:
+                copy.append(f"e{rng.randrange(10**6)}")
+            x, y = shingles(" ".join(own)), shingles(" ".join(copy))
+            j = len(x & y) / len(x | y)
+        if j >= 0.8:
+            return " ".join(own), " ".join(copy)
+
+
+@pytest.mark.parametrize("least, most", [(6, 12), (12, 40), (40, 130), (130, 400), (1000, 1300)])
+def test_joint_recall_of_limit_and_bands(least, most):
+    """Of pairs near the limit nearly all are candidates, whatever their length and their repeats."""
+    rng, found, n = random.Random(least), 0, 300
+    for i in range(n):
+        a, b = similar_pair(rng, least, most)
+        sets = [shingle_set(a, 5), shingle_set(b + (" " + b.split()[-1]) * 90 * (i % 2 and least > 100), 5)]
+        bits = [np.unpackbits(np.frombuffer(fingerprint(s), np.uint8)) for s in sets]
+        close = (bits[0] != bits[1]).sum() <= limits(np.array([len(s) for s in sets]), 0.8).max()
+        found += close and (bands(sets[0]) == bands(sets[1])).any()
+    assert found / n >= 0.96
+
+
+def test_planted_similarities_are_found_up_to_the_limit(spark):
+    """Recall by brute force on families whose members are similar by 0.6 to 1."""
+    rng, rows = random.Random(12), []
+    for g in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(30, 300))]
+        for c in range(6):
+            copy = [f"e{rng.randrange(10**6)}" if rng.random() < 0.02 * c else w for w in base]
+            rows.append((g * 10 + c, " ".join(copy), "en", "s", 1))
+    kept, groups = without_near_duplicates(table(spark, rows)).count(), len(brute_groups(rows))
+    assert groups <= kept <= groups + 0.05 * (len(rows) - groups)
+
+
+def test_joins_of_a_mixed_run_leave_no_similar_pair_apart():
+    rng, rows = random.Random(3), []
+    for i in range(60):
+        copy = [f"s{k}" if rng.random() > 0.03 else f"e{rng.randrange(10**6)}" for k in range(200)]
+        rows.append((i, " ".join(copy), "en", "s", 1))
+    sets = [shingle_set(r[1], 5) for r in rows]
+    words = np.stack([np.frombuffer(fingerprint(s), np.uint64) for s in sets])
+    a, b = run_joins(words, limits(np.array([len(s) for s in sets]), 0.8), np.arange(60), sets, 0.8)
+    root = list(range(60))
+    for x, y in zip(a, b):
+        p, q = root[x], root[y]
+        root = [p if r == q else r for r in root]
+    assert len(a) == 60 - len(set(root)) and len(set(root)) == len(brute_groups(rows))
+
+
+def test_heavy_buckets_are_dealt_so_that_all_pairs_meet(spark):
+    rows = spark.createDataFrame([(0, 1, bytes([i])) for i in range(50)] + [(0, 2, b"x"), (0, 2, b"y")], "t int, key long, node binary")
+    got = dealt(rows, ["t", "key"], F.lit(1), 20).collect()
+    parts = {}
+    for r in got:
+        parts.setdefault((r.key, r.pair), set()).add(bytes(r.node))
+    met = {frozenset((x, y)) for (k, _), nodes in parts.items() if k == 1 for x in nodes for y in nodes if x != y}
+    assert len(met) == 50 * 49 // 2
+    assert [n for (k, _), n in parts.items() if k == 2] == [{b"x", b"y"}]
+
+
+def test_ties_and_repeated_rows_give_one_row_each(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "en", "a", 1), (1, text, "de", "b", 2), (1, text, "en", "a", 1), (2, text, "en", "a", 1)]
+    first = without_near_duplicates(table(spark, rows)).collect()
+    assert len(first) == 1 and first == without_near_duplicates(table(spark, rows[::-1])).collect()
 
 
 @pytest.fixture(scope="module")
