@@ -12,7 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of any orderable type to (node, root): root is the least node that node can reach.
 
     Large-star and small-star steps alternate until the edges are stars around their roots; each round is
-    written to the shared folder, so the plan stays short and lost executors cost one round. Nodes without an
+    written to the shared folder, so the plan stays short and lost executors cost one round. What a star's edges meet
+    is written as well, so adaptive execution can split the edges of a hub. Nodes without an
     edge to another node have no row. Repeated edges, loops and nulls in an edge are ignored.
     """
     now = staged(
@@ -25,9 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "stars-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = staged(large, "stars-large")
+        lower = staged(large.groupBy("u").agg(F.min("v").alias("m")), "stars-lower")
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = staged(small.unionByName(lower.withColumnRenamed("m", "v")).distinct(), "stars")
         after = mark(now)
