@@ -20,14 +20,16 @@ def line_dedup(
 
     A key of at least min_chars code points that more than max_documents distinct documents hold loses its
     lines everywhere but in the document with the smallest id. Only hashes and positions are grouped; the
-    text moves once, to meet the positions that its row loses.
+    text moves once, to meet the positions that its row loses. The hashes that many documents hold are written first,
+    so the join with them reads both sides from shuffles of its own and adaptive execution can split a hot hash.
 
     Null or empty texts are one empty line. Rows without id count together as one document after all others.
     Repeated rows of an id are the same document; each is rebuilt from its own lines. Columns named n_lines
     or n_dropped in the input are replaced; other columns pass unchanged.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    rows = rows.select("row", F.col("row")[id_col].alias("id"), F.coalesce(F.col("row")[text_col], F.lit("")).alias("body"))
+    body = F.coalesce(F.col("row")[text_col], F.lit(""))
+    rows = rows.select("row", F.col("row")[id_col].alias("id"), F.xxhash64(body).alias("part"))
     lines = (
         docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("body"))
         .select("id", F.xxhash64("body").alias("part"), F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
@@ -47,6 +49,7 @@ def line_dedup(
         .where(F.col("documents") > max_documents)
         .select("hash", "first_id")
     )
+    common = staged(common, "common-lines")
     lost = (
         lines.join(common, "hash")
         .where(~F.col("id").eqNullSafe(F.col("first_id")))
@@ -54,10 +57,8 @@ def line_dedup(
         .agg(F.collect_set("pos").alias("lost"))
         .withColumnsRenamed({"id": "lost_id", "part": "lost_part"})
     )
-    met = rows.withColumn("part", F.xxhash64("body")).join(
-        lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("part") == F.col("lost_part")), "left"
-    )
-    met = met.select("row", "body", "lost", F.split("body", "\n", -1).alias("lines"))
+    met = rows.join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("part") == F.col("lost_part")), "left")
+    met = met.select("row", body.alias("body"), "lost", F.split(body, "\n", -1).alias("lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
     kept = F.when(F.col("lost").isNull(), F.col("body")).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")

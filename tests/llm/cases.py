@@ -34,3 +34,25 @@ def table(spark: SparkSession, rows: list[tuple], extra: bool = True) -> DataFra
 
 def norm(text: str | None) -> str:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def skew_split(spark: SparkSession, make) -> bool:
+    """Whether adaptive execution splits a hot key of the frame that make() gives, with thresholds of a few KB."""
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        df = make()
+        df.collect()
+        return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

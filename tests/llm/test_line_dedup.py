@@ -4,7 +4,7 @@ import pytest
 
 from loamwork.llm.line_dedup import line_dedup
 
-from .cases import awkward, norm, table
+from .cases import SCHEMA, awkward, norm, skew_split, table
 
 
 def brute(rows, min_chars, most):
@@ -36,3 +36,14 @@ def test_equals_brute_force(spark, min_chars, most):
 
 def test_empty_table(spark):
     assert line_dedup(table(spark, [])).collect() == []
+
+
+def test_a_hot_line_is_split(spark):
+    rows = [(i, "this line stands in all documents\nown line number %d of its document" % i, "en", "s", 1) for i in range(4000)]
+    assert skew_split(spark, lambda: line_dedup(spark.createDataFrame(rows, SCHEMA).repartition(8)))
+
+
+def test_a_text_of_some_megabytes(spark):
+    rows = [(1, "a line of its own\n" * 200_000, "en", "s", 1), (2, "\n".join(f"line number {i}" for i in range(200_000)), "en", "s", 1), (3, "a line of its own", "en", "s", 1)]
+    got = {r.doc_id: r for r in line_dedup(table(spark, rows)).collect()}
+    assert (got[1].n_dropped, got[2].n_dropped, got[3].n_dropped) == (0, 0, 1) and got[2].text == rows[1][1]
