@@ -17,20 +17,24 @@ def filled(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     Children share their parent's budget by weight; what a child cannot take (its cap) goes to its siblings, by
     weight again. In order of cap / weight the children that are full come first, so one pass of running sums
     finds them. Shares are whole tokens and add up to the budget exactly, which is at most the sum of caps.
-    Integers must hold budget * sum of weights (10**14 tokens with weights summing to 10**4, say).
+    Products are decimals of 38 digits, so budget * sum of weights may reach 10**38.
     """
-    order = Window.partitionBy(*parent).orderBy(F.col("cap") / F.col("weight"), F.col(name).asc_nulls_first())
+    wide = "decimal(38,0)"
+    nodes = nodes.withColumns({c: F.col(c).cast(wide) for c in ("cap", "weight", "budget")})
+    ratio = F.col("cap").cast("double") / F.col("weight").cast("double")
+    order = Window.partitionBy(*parent).orderBy(ratio, F.col(name).asc_nulls_first())
     above, below = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.partitionBy(*parent)
-    nodes = nodes.withColumn("before", F.coalesce(F.sum("cap").over(above), F.lit(0))).withColumn("left", F.sum("weight").over(below))
+    nodes = nodes.withColumn("before", F.coalesce(F.sum("cap").over(above), F.lit(0)).cast(wide))
+    nodes = nodes.withColumn("left", F.sum("weight").over(below).cast(wide))
     full = F.col("cap") * F.col("left") <= (F.col("budget") - F.col("before")) * F.col("weight")
     nodes = nodes.withColumn("full", full)
-    nodes = nodes.withColumn("rest", F.col("budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(whole), F.lit(0)))
-    nodes = nodes.withColumn("shares", F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(whole))
-    nodes = nodes.withColumn("past", F.col("shares") - F.col("left"))
+    nodes = nodes.withColumn("rest", (F.col("budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(whole), F.lit(0))).cast(wide))
+    nodes = nodes.withColumn("shares", F.sum(F.when(~F.col("full"), F.col("weight"))).over(whole).cast(wide))
+    nodes = nodes.withColumn("past", (F.col("shares") - F.col("left")).cast(wide))
     cut = lambda c: F.expr(f"({c} * rest) div shares")
     alloc = F.when(F.col("full"), F.col("cap")).otherwise(cut("(past + weight)") - cut("past"))
-    return nodes.withColumn("alloc", alloc).drop("before", "left", "full", "rest", "shares", "past", "budget")
+    return nodes.withColumn("alloc", alloc.cast("long")).drop("before", "left", "full", "rest", "shares", "past", "budget")
 
 
 def mixed(

@@ -6,7 +6,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from loamwork.llm.mixing import mixed, weight_of
+from loamwork.llm.mixing import filled, mixed, weight_of
 
 from .cases import SCHEMA, awkward, table
 
@@ -88,3 +88,15 @@ def test_awkward_rows_and_empty_table(spark):
     assert mixed(table(spark, []), levels, weights).collect() == []
     tempered = mixed(table(spark, rows), levels, weights, temper=0.5).collect()
     assert len(tempered) == len(rows)
+
+
+@pytest.mark.parametrize("tokens", [10**11, 10**13, 10**15])
+def test_shares_of_very_many_tokens(spark, tokens):
+    """Leaves of up to 10**15 tokens weighing their size to the power 0.7: no overflow, and the shares add up."""
+    leaves = [(i, tokens * (1 + i % 3), int((tokens * (1 + i % 3)) ** 0.7)) for i in range(20)]
+    budget = sum(c for _, c, _ in leaves) * 3 // 4
+    nodes = spark.createDataFrame(leaves, "leaf int, cap long, weight long").withColumn("budget", F.lit(budget)).withColumn("top", F.lit(0))
+    got = {r.leaf: r.alloc for r in filled(nodes, ["top"], "leaf").collect()}
+    assert sum(got.values()) == budget
+    want = fill(budget, {i: (c, w) for i, c, w in leaves})
+    assert all(abs(got[i] - want[i]) <= 1 for i in got)
