@@ -26,8 +26,9 @@ def exact_dedup(
 
     Texts are equal when identical after lower-casing A-Z. Grouping by (hash, text) compares the bytes of
     equal hashes; copies are combined before the shuffle, so a group of any size arrives as one row per task.
-    Only the hash then travels with the rows; hashes shared by different texts (collisions) take a second
-    join on the text itself.
+    Only the hash then travels with the rows, to meet the classes of several rows; those are written first, so that
+    adaptive execution can split a hot hash. Hashes shared by different texts (collisions) take a second join on the
+    text itself.
 
     Null texts count as empty. Null ids never win against other ids; a group of null ids only has a null
     keep_id and all of its rows are kept. Repeated rows with the winning id are all kept. An empty table
@@ -46,8 +47,16 @@ def exact_dedup(
     by_hash = classes.groupBy("hash").agg(
         F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts")
     )
+    by_hash = staged(by_hash.where("group_size > 1 OR texts > 1"), "exact-copies")
     slim = rows.select("doc_id", "hash", F.sha2("body", 256).alias("text_sha256"))
-    found = slim.join(by_hash.where("texts = 1").drop("texts"), "hash")
+    alone = F.col("texts").isNull()
+    found = slim.join(by_hash, "hash", "left").where(alone | (F.col("texts") == 1)).select(
+        "hash",
+        "doc_id",
+        "text_sha256",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+    )
     clashing = by_hash.where("texts > 1").select("hash")
     if not clashing.isEmpty():
         apart = rows.join(clashing, "hash", "left_semi")

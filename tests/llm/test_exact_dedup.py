@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loamwork.llm.exact_dedup import exact_dedup, md5_128
 
-from .cases import awkward, norm, table
+from .cases import SCHEMA, awkward, norm, skew_split, table
 
 
 def brute(rows, best):
@@ -39,3 +39,14 @@ def test_empty_table(spark):
 def test_the_plan_has_no_python(spark):
     plan = exact_dedup(table(spark, awkward()))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_a_hot_text_is_split(spark):
+    rows = [(i, "the same text" if i % 2 else f"text {i % 1500}", "en", "s", 1) for i in range(6000)]
+    assert skew_split(spark, lambda: exact_dedup(spark.createDataFrame(rows, SCHEMA).repartition(8)))
+
+
+def test_texts_of_some_megabytes(spark):
+    rows = [(1, "A b" * 10**6, "en", "s", 1), (2, "a B" * 10**6, "en", "s", 1), (3, "a b" * 10**6 + "c", "en", "s", 1)]
+    got = {r.doc_id: r.keep_id for r in exact_dedup(table(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
