@@ -1,9 +1,18 @@
-"""Column functions on text: tokens, keys, normal forms, ratios. All built-in, so they stay inside code generation."""
+"""Column functions on text: tokens, keys, normal forms, ratios.
+
+All are built-in, so they stay inside code generation, but for Unicode composition and case folding, which Spark
+lacks: those go through Arrow batches, and only for texts with other characters than ASCII.
+"""
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A run of letters, digits and underscores, or one other character that isn't blank. Explicit classes: the JVM's
 #: own word class is ASCII only.
@@ -15,10 +24,45 @@ MARKED = {
 }
 
 
+def _plain(c: str) -> str:
+    """The case-folded character without its marks."""
+    return "".join(x for x in unicodedata.normalize("NFD", c.casefold().replace("đ", "d")) if unicodedata.category(x) != "Mn")
+
+
+#: Letters of the Latin blocks whose plain form is one ASCII character.
+_LATIN = {c: _plain(c) for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF10, 0xFF5B)))}
+SINGLE = {c: p for c, p in _LATIN.items() if len(p) == 1 and p.isascii()}
+
+
 def filled(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def bound(column: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the column, which is evaluated once however often f names it."""
+    return F.get(F.transform(F.array(column), f), F.lit(0))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def by_arrow(text: Column, ascii_: Column, f: Callable[[str], str]) -> Column:
+    """ascii_ for texts of ASCII only; f, in Arrow batches, for the others."""
+    run = F.pandas_udf(lambda batch: batch.map(f, na_action="ignore"), StringType())
+    return F.when(is_ascii(text), ascii_).otherwise(run(F.when(~is_ascii(text), text)))
+
+
+def composed(text: Column) -> Column:
+    """Unicode normal form C."""
+    return by_arrow(filled(text), filled(text), lambda t: unicodedata.normalize("NFC", t))
+
+
+def folded(text: Column) -> Column:
+    """Normal form C, case-folded: ß as ss, for example."""
+    return by_arrow(filled(text), F.lower(filled(text)), lambda t: unicodedata.normalize("NFC", t).casefold())
+
+
 def raw_tokens(text: Column) -> Column:
     """Number of tokens, unweighted."""
     return F.regexp_count(filled(text), F.lit(TOKEN))
@@ -41,26 +85,57 @@ def token_bucket(n: Column) -> Column:
     )
 
 
+#: What counts as white space: that of ASCII with its separators, and the Unicode blanks.
+BLANK = r"[\s\x1C-\x1F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
 def collapsed(text: Column) -> Column:
     """White space runs to one space, trimmed."""
-    return F.trim(F.regexp_replace(filled(text), r"[\s\u00A0]+", " "))
+    return F.trim(F.regexp_replace(filled(text), rf"{BLANK}+", " "))
 
 
 def clean_line(text: Column) -> Column:
-    """Collapsed white space without outer blanks, colons and dashes."""
-    return F.btrim(collapsed(text), F.lit(" :-–—\t"))
+    """Composed text with collapsed white space, without outer blanks, colons and dashes."""
+    return F.btrim(F.regexp_replace(composed(text), rf"{BLANK}+", " "), F.lit(" :-–—\t"))
 
 
 def ascii_key(text: Column) -> Column:
-    """Lower-case key without marks: anything but a-z and 0-9 is one space. d with stroke counts as d."""
-    marked = "".join(MARKED.values())
-    plain = "".join(k * len(v) for k, v in MARKED.items())
-    return F.trim(F.regexp_replace(F.translate(F.lower(filled(text)), marked, plain), "[^a-z0-9]+", " "))
+    """Case-folded key without marks: anything but a-z and 0-9 is one space. d with stroke counts as d.
+
+    Marks apart from their letter are dropped, so composed and decomposed texts have the same key.
+    """
+    t = F.translate(filled(text), "".join(SINGLE), "".join(SINGLE.values()))
+    t = F.regexp_replace(F.regexp_replace(t, "[ßẞ]", "ss"), "\ufb01", "fi")
+    t = F.when(is_ascii(filled(text)), filled(text)).otherwise(F.regexp_replace(t, r"\p{Mn}+", ""))
+    return F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " "))
+
+
+def _letter_key(text: str) -> str:
+    kept = (c for c in unicodedata.normalize("NFD", text.casefold().replace("đ", "d")) if not unicodedata.combining(c))
+    return " ".join("".join(c if c.isalnum() else " " for c in kept).split())
+
+
+def letter_key(text: Column) -> Column:
+    """Like ascii_key, but letters and digits of all scripts stay."""
+    t = filled(text)
+    return by_arrow(t, F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " ")), _letter_key)
+
+
+def normalized_line(text: Column) -> Column:
+    """Composed text without soft hyphens, white space collapsed."""
+    return collapsed(F.replace(composed(text), F.lit("\u00ad"), F.lit("")))
+
+
+def normalized_paragraph(text: Column) -> Column:
+    """Normalised lines as one; a hyphen at a line's end goes where the next line goes on in lower case."""
+    lines = F.split(F.replace(composed(text), F.lit("\u00ad"), F.lit("")), r"\r\n|[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]")
+    lines = F.filter(F.transform(lines, collapsed), lambda x: x != "")
+    return collapsed(F.replace(F.regexp_replace(F.array_join(lines, "\n"), r"-\n(?=\p{Ll})", ""), F.lit("\n"), F.lit(" ")))
 
 
 def fingerprint(text: Column) -> Column:
-    """SHA-256 of lower-cased text with collapsed white space."""
-    return F.sha2(F.lower(collapsed(text)), 256)
+    """SHA-256 of the composed, case-folded text with collapsed white space."""
+    return F.sha2(collapsed(folded(text)), 256)
 
 
 def sanitized(text: Column) -> Column:

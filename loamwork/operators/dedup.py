@@ -7,8 +7,11 @@ import re
 import unicodedata
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,24 +22,43 @@ from ..functions.storage import staged
 
 
 def first_wins(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    """Rows that are the first, in order, with each of the keys in turn; a null or empty key excludes nobody.
+    """Rows that share no key with a row kept before them, in order; a null or empty key excludes nobody.
 
-    Each key works on the survivors of the one before.
+    A row that is dropped registers none of its keys, as in a pass over the rows one by one. Rows that are the first of
+    all their keys among the undecided are kept at once, and those that share a key with them dropped, so rounds
+    are as many as the longest chain of decisions. order must tell all rows apart; keys are of one type.
     """
-    for i, key in enumerate(keys):
-        keyed = df.withColumn("__k", key)
-        none = F.col("__k").isNull() | (F.col("__k").cast("string") == "")
-        w = Window.partitionBy("__k").orderBy(*order)
-        ranked = keyed.where(~none).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-        df = ranked.unionByName(keyed.where(none)).drop("__k")
-    return df
+    names = [f"__k{i}" for i in range(len(keys))]
+    present = lambda k: F.when(k.isNotNull() & (k.cast("string") != ""), k)
+    whole = staged(df.withColumns({n: present(k) for n, k in zip(names, keys)} | {"__o": F.struct(*order)}), "first-wins")
+    slim, kept = whole.select("__o", *names), []
+    while not slim.isEmpty():
+        leaders = slim
+        for n in names:
+            least = staged(slim.where(F.col(n).isNotNull()).groupBy(n).agg(F.min("__o").alias(f"{n}_least")), "first-least")
+            leaders = leaders.join(least, n, "left")
+        own = [F.col(n).isNull() | (F.col("__o") == F.col(f"{n}_least")) for n in names]
+        taken = staged(leaders.where(reduce(and_, own)).select("__o", *names), "first-taken")
+        kept.append(taken.select("__o"))
+        slim = slim.join(taken.select("__o"), "__o", "left_anti")
+        for n in names:
+            slim = slim.join(taken.select(n).where(F.col(n).isNotNull()), n, "left_anti")
+        slim = staged(slim.select("__o", *names), "first-undecided")
+    if not kept:
+        return df
+    return whole.join(reduce(DataFrame.unionByName, kept), "__o", "left_semi").select(*df.columns)
 
 
 def by_fingerprint(df: DataFrame, fp: Column, id_col: str) -> DataFrame:
-    """df with owner (least id of the same fingerprint) and is_duplicate; copies combine before the shuffle."""
+    """df with owner (least id of the same fingerprint) and is_duplicate; copies combine before the shuffle.
+
+    Fingerprints of several rows are written before the join, so that a hot one can be split; the others need none.
+    """
     keyed = df.withColumn("fingerprint", fp)
-    owners = keyed.groupBy("fingerprint").agg(F.min(id_col).alias("owner"), F.count(F.lit(1)).alias("group_size"))
-    return keyed.join(owners, "fingerprint").withColumn("is_duplicate", F.col(id_col) != F.col("owner"))
+    owners = keyed.groupBy("fingerprint").agg(F.min(id_col).alias("owner"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    met = keyed.join(staged(owners, "fingerprint-owners"), "fingerprint", "left")
+    met = met.withColumns({"owner": F.coalesce("owner", id_col), "group_size": F.coalesce("group_size", F.lit(1))})
+    return met.withColumn("is_duplicate", F.col(id_col) != F.col("owner"))
 
 
 def metadata_fingerprint(title: Column, authors: Column, year: Column) -> Column:
@@ -76,13 +98,11 @@ def simhash_value(text: str) -> int:
     words = [w for w in plain_key(text).split() if len(w) > 1]
     if not words:
         return 0
-    votes = [0] * 64
-    for shingle, n in Counter(" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))).items():
-        h = int.from_bytes(hashlib.blake2b(shingle.encode(), digest_size=8).digest(), "big")
-        for bit in range(64):
-            votes[bit] += n if h >> bit & 1 else -n
-    value = sum(1 << bit for bit, v in enumerate(votes) if v >= 0)
-    return value - (1 << 64) if value >> 63 else value
+    counted = Counter(" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2)))
+    digests = b"".join(hashlib.blake2b(s.encode(), digest_size=8).digest() for s in counted)
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
+    votes = np.fromiter(counted.values(), np.int32, len(counted)) @ (2 * bits - 1)
+    return int.from_bytes(np.packbits(votes >= 0).tobytes(), "big", signed=True)
 
 
 @F.pandas_udf(LongType())
@@ -147,30 +167,50 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
-def fuzzy_pairs(titles: DataFrame, id_col: str, core: str, jaccard: float = 0.80, loose: float = 0.65, ratio: float = 0.85) -> DataFrame:
+def _within(words: DataFrame, least: int, share: float, gram: int = 12) -> DataFrame:
+    """Pairs (core_a, core_b) of which one may hold the other: the rarest gram of the shorter is in the longer."""
+    size = F.char_length("core")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), size - gram + 1), lambda i: F.substring("core", i, gram)))
+    each = words.where(size >= least).select("core", F.explode(grams).alias("g"))
+    counts = each.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(counts, "g").groupBy("core").agg(F.min(F.struct("n", "g")).alias("r")).where("r.n > 1")
+    met = rarest.select(F.col("core").alias("x"), F.col("r.g").alias("g")).join(each.select("g", F.col("core").alias("y")), "g")
+    met = met.where((F.col("x") != F.col("y")) & F.contains("y", "x") & (F.char_length("x") / F.char_length("y") >= share))
+    return met.select(F.least("x", "y").alias("core_a"), F.greatest("x", "y").alias("core_b")).distinct()
+
+
+def fuzzy_pairs(titles: DataFrame, id_col: str, core: str, jaccard: float = 0.80, loose: float | None = 0.65, ratio: float = 0.85) -> DataFrame:
     """Pairs a < b of titles that are near each other, with the rule that says so.
 
-    Equal cores; one inside the other at 0.82 of its length; Jaccard of words at 0.80; Jaccard at 0.65 with a
-    matching ratio of 0.85. Two sets with Jaccard >= t share one of the rarest words that a prefix of
-    size - ceil(t * size) + 1 holds, so only titles that share such a word meet.
+    Equal cores are one class, whose least id stands for it; each other member is paired with that id (rule equal), and
+    classes are compared once: one core inside the other at 0.82 of its length, from 20 characters; Jaccard of
+    words at `jaccard`; Jaccard at `loose` with a matching ratio of `ratio` (None leaves that rule out). Two sets
+    with Jaccard >= t share one of the rarest words that a prefix of size - ceil(t * size) + 1 holds, so only
+    cores that share such a word meet; cores inside others meet by their rarest run of 12 characters.
     """
-    words = titles.select(F.col(id_col).alias("id"), F.col(core).alias("core"), F.array_distinct(F.split(core, " ")).alias("ws")).where("core <> ''")
+    given = titles.select(F.col(id_col).alias("id"), F.col(core).alias("core")).where("core <> ''")
+    classes = staged(given.groupBy("core").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "title-classes")
+    equal = given.join(classes.where("n > 1").select("core", F.col("id").alias("a")), "core").where(F.col("id") != F.col("a"))
+    words = classes.select("id", "core", F.array_distinct(F.split("core", " ")).alias("ws"))
     counts = words.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    rare = words.select("id", "core", "ws", F.explode("ws").alias("w")).join(counts, "w")
-    rare = rare.groupBy("id", "core", "ws").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))
-    size = F.size("ws")
-    prefix = F.slice("o", F.lit(1), (size - F.ceil(size * F.lit(0.5)) + 1).cast("int"))
-    keyed = rare.select("id", "core", "ws", F.explode(prefix).alias("k")).select("id", "core", "ws", "k.w")
-    a, b = keyed.select(*(F.col(c).alias(f"{c}_a") for c in ("id", "core", "ws")), "w"), keyed.select(*(F.col(c).alias(f"{c}_b") for c in ("id", "core", "ws")), "w")
-    met = a.join(b, "w").where("id_a < id_b").drop("w").dropDuplicates(["id_a", "id_b"])
+    rare = words.select("core", "ws", F.explode("ws").alias("w")).join(counts, "w")
+    rare = rare.groupBy("core", "ws").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))
+    size, least = F.size("ws"), min(jaccard, loose or 1.0)
+    prefix = F.slice("o", F.lit(1), (size - F.ceil(size * F.lit(least)) + 1).cast("int"))
+    keyed = rare.select("core", F.explode(prefix).alias("k")).select("core", "k.w")
+    met = keyed.withColumnRenamed("core", "core_a").join(keyed.withColumnRenamed("core", "core_b"), "w").where("core_a < core_b")
+    met = met.select("core_a", "core_b").unionByName(_within(words.select("core"), 20, 0.82)).distinct()
+    for side in "ab":
+        met = met.join(words.select(*(F.col(c).alias(f"{c}_{side}") for c in ("id", "core", "ws"))), f"core_{side}")
     la, lb = F.char_length("core_a"), F.char_length("core_b")
     shortest, longest = F.least(la, lb), F.greatest(la, lb)
     inside = (shortest >= 20) & (F.contains("core_a", "core_b") | F.contains("core_b", "core_a")) & (shortest / longest >= 0.82)
     met = met.withColumn("jaccard", F.size(F.array_intersect("ws_a", "ws_b")) / F.size(F.array_union("ws_a", "ws_b")))
     near_length = F.abs(la - lb) <= longest * 0.3
-    sure = met.withColumn(
-        "rule", F.when(F.col("core_a") == F.col("core_b"), "equal").when(inside, "inside").when(near_length & (F.col("jaccard") >= jaccard), "jaccard")
-    )
-    tail = sure.where(F.col("rule").isNull() & near_length & (F.col("jaccard") >= loose)).where(sequence_ratio("core_a", "core_b") >= ratio)
-    both = sure.where("rule IS NOT NULL").unionByName(tail.withColumn("rule", F.lit("sequence")))
-    return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "rule", F.round("jaccard", 4).alias("jaccard"))
+    out = met.withColumn("rule", F.when(inside, "inside").when(near_length & (F.col("jaccard") >= jaccard), "jaccard"))
+    both = out.where("rule IS NOT NULL")
+    if loose is not None:
+        tail = out.where(F.col("rule").isNull() & near_length & (F.col("jaccard") >= loose)).where(sequence_ratio("core_a", "core_b") >= ratio)
+        both = both.unionByName(tail.withColumn("rule", F.lit("sequence")))
+    pairs = both.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "rule", F.round("jaccard", 4).alias("jaccard"))
+    return pairs.unionByName(equal.select("a", F.col("id").alias("b"), F.lit("equal").alias("rule"), F.lit(1.0).alias("jaccard")))

@@ -23,11 +23,9 @@ def first_of(rules: Rules, otherwise: str | Column | None = None) -> Column:
 
 
 def any_in(text: Column, terms: Sequence[str]) -> Column:
-    """Whether any plain term is in the text."""
-    out = F.lit(False)
-    for t in terms:
-        out = out | F.contains(text, F.lit(t))
-    return out
+    """Whether any plain term is in the text: one search for all, so that the text's expression is evaluated once."""
+    escaped = ("".join(c if c.isalnum() or c == " " else f"\\{c}" for c in t) for t in terms)
+    return text.rlike("|".join(escaped)) if terms else F.lit(False)
 
 
 def integrity_gate(text: Column, control: float = 0.002, symbol: float = 0.02) -> Column:
@@ -104,8 +102,7 @@ def is_heading(text: Column) -> Column:
 
 def document_type(kind: Column) -> Column:
     """Kind of work from free text, by the first rule that fits."""
-    key = T.ascii_key(kind)
-    return first_of(
+    return T.bound(T.ascii_key(kind), lambda key: first_of(
         [
             (any_in(key, ["luan an", "doctoral", "phd"]), "doctoral_dissertation"),
             (any_in(key, ["thac si", "master", "luan van"]), "master_thesis"),
@@ -115,7 +112,7 @@ def document_type(kind: Column) -> Column:
             (any_in(key, ["nghien cuu", "cong trinh", "de tai", "research"]), "research_report"),
         ],
         "other",
-    )
+    ))
 
 
 #: Aliases of academic units in their order, the first that fits wins.
@@ -131,8 +128,8 @@ UNITS = {
 
 
 def academic_unit(unit: Column, title: Column) -> Column:
-    key = T.ascii_key(F.concat_ws(" ", unit, title))
-    return first_of([(any_in(key, terms), name) for name, terms in UNITS.items()], "other")
+    rules = lambda key: first_of([(any_in(key, terms), name) for name, terms in UNITS.items()], "other")
+    return T.bound(T.ascii_key(F.concat_ws(" ", unit, title)), rules)
 
 
 def year_bucket(year: Column) -> Column:
@@ -155,14 +152,27 @@ def language(text: Column) -> Column:
     return first_of([((vi >= 0.025) & (en >= 0.025), "mixed"), (vi >= 0.025, "vi"), (en >= 0.025, "en")], "mixed")
 
 
-#: Signs of pages that are not body text.
+#: Signs of pages that are not body text (contents, thanks, references, cover), and of running headers.
+#: The patterns decide which passages are released, so they are as given.
 NON_BODY = [
-    r"(?iu)\.{4,}\s*[0-9]+|mục\s+lục|danh\s+mục\s+(?:hình|bảng|từ\s+viết\s+tắt)|table\s+of\s+contents",
-    r"(?iu)lời\s+(?:cảm\s+ơn|cam\s+đoan|tri\s+ân)|chân\s+thành\s+cảm\s+ơn|acknowledge?ments",
-    r"(?iu)tài\s+liệu\s+tham\s+khảo|references|(?m)^\[[0-9]+\]\s+\p{Lu}",
-    r"(?iu)(?:giảng\s+viên|cán\s+bộ|người)\s+hướng\s+dẫn|sinh\s+viên\s+thực\s+hiện|hội\s+đồng\s+chấm",
+    r"(?iU)\.{4,}\s*\d+|\bMỤC\s+LỤC\b|\bDANH\s+MỤC\s+(?:HÌNH|BẢNG|TỪ\s+VIẾT\s+TẮT)\b",
+    r"(?iU)\bLỜI\s+CẢM\s+ƠN\b|\bLỜI\s+CAM\s+ĐOAN\b|\bLỜI\s+TRI\s+ÂN\b|chân\s+thành\s+cảm\s+ơn|xin\s+(?:gửi\s+lời\s+)?cảm\s+ơn|tỏ\s+lòng\s+biết\s+ơn|biết\s+ơn\s+sâu\s+sắc|tận\s+tình\s+dạy\s+dỗ",
+    r"(?iUm)\bTÀI\s+LIỆU\s+THAM\s+KHẢO\b|\bREFERENCES\b|^\[\d+\]\s+[A-ZÀ-Ỹ]",
+    r"(?iU)\bGIẢNG\s+VIÊN\s+HƯỚNG\s+DẪN\b|\bCÁN\s+BỘ\s+HƯỚNG\s+DẪN\b|\bSINH\s+VIÊN\s+THỰC\s+HIỆN\b|\bNGƯỜI\s+HƯỚNG\s+DẪN\b|\bHỘI\s+ĐỒNG\s+CHẤM\b",
+]
+RUNNING_HEADERS = [
+    r"LUẬN\s+VĂN\s+TỐT\s+NGHIỆP.*",
+    r"KHÓA\s+LUẬN\s+TỐT\s+NGHIỆP.*",
+    r"ĐỒ\s+ÁN\s+TỐT\s+NGHIỆP.*",
+    r"BÁO\s+CÁO\s+TỐT\s+NGHIỆP.*",
+    r"TRƯỜNG\s+ĐẠI\s+HỌC\s+.*",
+    r"ĐẠI\s+HỌC\s+QUỐC\s+GIA\s+.*",
+    r"HỌC\s+VIỆN\s+CÔNG\s+NGHỆ\s+.*",
+    r"CHƯƠNG\s+\d+.*",
+    r"Trang\s+\d+",
+    r"Page\s+\d+",
 ]
-RUNNING_HEADER = r"(?iu)^(?:(?:luận\s+văn|khóa\s+luận|đồ\s+án|báo\s+cáo)\s+tốt\s+nghiệp.*|trường\s+đại\s+học\s+.*|chương\s+[0-9]+.*|(?:trang|page)\s+[0-9]+)$"
+RUNNING_HEADER = f"(?iU)^(?:{'|'.join(RUNNING_HEADERS)})$"
 
 
 def is_non_body(text: Column) -> Column:

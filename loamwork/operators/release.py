@@ -54,14 +54,13 @@ def catalogue_reason(title: Column, dewey: Column, faculty: Column, on_topic: Co
 
 
 def school(name: Column) -> Column:
-    low = F.lower(T.filled(name))
-    return first_of([(low == "", "unclassified"), *((low.rlike(p), s) for p, s in SCHOOLS)], "other")
+    rules = lambda low: first_of([(low == "", "unclassified"), *((low.rlike(p), s) for p, s in SCHOOLS)], "other")
+    return T.bound(F.lower(T.filled(name)), rules)
 
 
 def institution(name: Column) -> Column:
     """Stable id of an institution; unknown names get one from their key."""
-    key = T.ascii_key(name)
-    return first_of(
+    rules = lambda key: first_of(
         [
             (key == "", "institution_unknown"),
             (F.contains(key, F.lit("dai hoc mo")), "ou_hcmc"),
@@ -70,6 +69,7 @@ def institution(name: Column) -> Column:
         ],
         F.concat(F.lit("institution_"), F.substring(F.sha2(key, 256), 1, 12)),
     )
+    return T.bound(T.ascii_key(name), rules)
 
 
 def institution_of_source(source: Column) -> Column:

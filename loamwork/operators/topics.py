@@ -87,10 +87,14 @@ KINDS = ["bachelor_thesis", "capstone_project", "master_thesis", "doctoral_disse
 def relevance(kind: Column, title: Column, body: Column, domain: Column, with_body: bool = True) -> Column:
     """struct(accepted, reason) of a thesis in computing. Without body evidence (the older rule), a short title or a
     business title is never rescued."""
-    key, text = T.ascii_key(title), T.ascii_key(body)
     hits = F.lit(0)
-    for term in BODY_TERMS if with_body else ():
-        hits = hits + T.count_of(text, term)
+    if with_body:
+        hits = T.bound(T.ascii_key(body), lambda text: sum((T.count_of(text, term) for term in BODY_TERMS), F.lit(0)))
+    facts = F.struct(T.ascii_key(title).alias("key"), hits.alias("hits"), kind.alias("kind"), domain.alias("domain"))
+    return T.bound(facts, lambda f: _decision(f["key"], f["hits"], f["kind"], f["domain"]))
+
+
+def _decision(key: Column, hits: Column, kind: Column, domain: Column) -> Column:
     bad = (key == "") | F.startswith(key, F.lit("microsoft word bia")) | (F.char_length(key) < 12)
     override = any_in(key, COMPUTING)
     reason = first_of(

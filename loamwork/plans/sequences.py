@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import dedup as D
 from ..operators import gates as G
 from ..operators import passages as P
 from ..operators import units as U
 from .corpus import UNITS
+from .dedup import FOLDED
 from .registry import query, table
 
 HEADING_SQL = "(line <> '' AND length(line) <= 40 AND NOT regexp_matches(line, '[.,;]$'))"
@@ -89,17 +91,14 @@ def repeated_margin_lines(spark, sf_dir):
 
 
 @query(f"""WITH {UNITS}, s AS (SELECT u.*, split FROM u JOIN (SELECT doc_id, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'dev' ELSE 'test' END AS split FROM documents) USING (doc_id)),
-p AS (SELECT *, sha256(lower(trim(regexp_replace(line, '\\s+', ' ', 'g')))) AS fp FROM s WHERE length(line) >= 20),
-f AS (SELECT *, first_value(doc_id * 100000 + ordinal) OVER (PARTITION BY fp ORDER BY doc_id, ordinal) AS owner FROM p)
-SELECT split, count(*) AS n, count(*) FILTER (owner = doc_id * 100000 + ordinal) AS active, count(*) FILTER (owner <> doc_id * 100000 + ordinal) AS excluded FROM f GROUP BY split""")
+p AS (SELECT *, sha256({FOLDED.replace("coalesce(text, '')", "line")}) AS fp FROM s WHERE length(line) >= 20),
+f AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY doc_id, ordinal) AS r FROM p)
+SELECT split, count(*) AS n, count(*) FILTER (r = 1) AS active, count(*) FILTER (r > 1) AS excluded FROM f GROUP BY split""")
 def line_fingerprint_dedup(spark, sf_dir):
     units = _units(spark, sf_dir).where(F.char_length("line") >= 20)
-    at = (F.col("doc_id") * 100000 + F.col("ordinal")).alias("at")
     split = F.when(F.col("doc_id") % 10 < 7, "train").when(F.col("doc_id") % 10 < 9, "dev").otherwise("test")
-    keyed = units.select("doc_id", at, T.fingerprint(F.col("line")).alias("fp"), split.alias("split"))
-    owners = keyed.groupBy("fp").agg(F.min("at").alias("owner"))
-    own = F.col("at") == F.col("owner")
-    return keyed.join(owners, "fp").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(own).alias("active"), F.count_if(~own).alias("excluded"))
+    keyed = D.by_fingerprint(units.select(F.struct("doc_id", "ordinal").alias("at"), "line", split.alias("split")), T.fingerprint(F.col("line")), "at")
+    return keyed.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("is_duplicate")).alias("active"), F.count_if("is_duplicate").alias("excluded"))
 
 
 @query()
