@@ -73,7 +73,7 @@ def provenance(passages: DataFrame, key: str, text: str, pages: DataFrame, page_
         return df.select(*keep, F.explode(F.array_distinct(each)).alias("h"))
 
     own = shingles(passages, text, key)
-    held = own.join(shingles(pages, page_text).distinct(), "h", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("found"))
+    held = own.join(shingles(pages, page_text), "h", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("found"))
     total = own.groupBy(key).agg(F.count(F.lit(1)).alias("shingles"))
     out = total.join(held, key, "left").na.fill(0, ["found"])
     return out.withColumn("share", F.round(F.col("found") / F.col("shingles"), 4)).withColumn("verbatim", F.col("found") / F.col("shingles") >= share)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("forms", "rules", "corpus", "sequences", "relational", "dedup", "acquisition", "counterfactual", "integrity", "release")
+MODULES = ("forms", "rules", "steps", "corpus", "sequences", "relational", "dedup", "acquisition", "counterfactual", "integrity", "release")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
