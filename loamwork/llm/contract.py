@@ -96,11 +96,16 @@ def mix_levels(source: str = "row.source", lang: str = "row.lang") -> dict:
     return {"domain": domain, "lang": F.col(lang), "source": F.col(source)}
 
 
+def mix_weights() -> dict:
+    from .mixing import weight_of
+
+    return {"domain": weight_of("domain", DOMAIN_WEIGHTS), "lang": weight_of("lang", LANG_WEIGHTS), "source": F.lit(1)}
+
+
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mixed, weight_of
+    from .mixing import mixed
 
-    weights = {"domain": weight_of("domain", DOMAIN_WEIGHTS), "lang": weight_of("lang", LANG_WEIGHTS), "source": F.lit(1)}
-    got = mixed(documents(spark, sf_dir), mix_levels("source", "lang"), weights, budget_per_mille=800, max_epochs=4)
+    got = mixed(documents(spark, sf_dir), mix_levels("source", "lang"), mix_weights(), budget_per_mille=800, max_epochs=4)
     return got.select(F.col("row.doc_id").alias("doc_id"), "domain", "lang", "source", "n_tokens", "copies")
 
 
