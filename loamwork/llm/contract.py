@@ -155,4 +155,4 @@ def op2_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import repeated_passages
 
-    return repeated_passages(documents(spark, sf_dir), within=True).select("doc_id", "start", "end", "n_words", "kept_in")
+    return repeated_passages(documents(spark, sf_dir), within=True).select("doc_id", "unit", "start", "end", "n_words", "kept_in")

@@ -1,10 +1,11 @@
-"""Substring deduplication by hashing paragraphs: normalised units are grouped by digest over the whole corpus, the
-earliest ranked occurrence stays, and runs of repeated units go, with their offsets in the original text.
-
-A passage may begin and end inside a line, so the units are paragraphs that the words themselves bound: one ends
-at a word whose three-word hash is lower than those of the four words on either side. That depends on nearby words
-only, so copies of a passage have the same units but for the first and the last few words, wherever they stand.
-Where up to four words repeat again and again, no hash is the lowest; there every PERIODIC words are a unit.
+"""Substring deduplication by hashing lines and paragraphs: normalised units are grouped by digest over the whole
+corpus, the earliest ranked occurrence stays, and the others go, with their offsets in the original text.
+
+Units are of two kinds. Lines are whole lines, whatever stands around them. A passage may also begin and end inside a
+line; for those, paragraphs are bounded by the words themselves: one ends at a word whose three-word hash is
+lower than those of the four words on either side. That depends on nearby words only, so copies of a passage have
+the same paragraphs but for the first and the last few words, wherever they stand. Where up to four words repeat
+again and again, no hash is the lowest; there every PERIODIC words are a paragraph.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import sliced, staged, text_of
 from .simhash import LOWER
 
 #: Words on either side that a unit's end is compared with; bytes hashed at once.
@@ -73,35 +74,49 @@ def unit_ends(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.append(np.flatnonzero(low) + 1, n))
 
 
-def units_of(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each unit: code points in the text, 128-bit digest of its normalised words."""
+Unit = tuple[int, int, int, bytes]
+
+
+def all_units(text: str, line_words: int) -> tuple[list[tuple[int, Unit]], list[tuple[int, Unit]]]:
+    """Lines of at least line_words words and paragraphs, each with its number and (start, end, words, digest): code
+    points in the text from its first to its last word, and the 128-bit digest of its normalised words."""
     original = text.encode()
     lower = original.translate(LOWER)
     starts, ends, hashes = word_places(lower)
+    if not len(starts):
+        return [], []
+    joined, shifted = b" ".join(lower.split()), np.cumsum(ends - starts + 1)
+    points = np.cumsum((np.frombuffer(original, np.uint8) & 0xC0) != 0x80) if len(original) != len(text) else None
+
+    def of(number: np.ndarray, first: np.ndarray, past: np.ndarray) -> list[tuple[int, Unit]]:
+        places = np.concatenate((starts[first], ends[past - 1]))
+        if points is not None:
+            places = np.where(places > 0, points[places - 1], 0)
+        a, b, n = np.where(first > 0, shifted[first - 1], 0), shifted[past - 1] - 1, len(past)
+        each = zip(number.tolist(), places[:n].tolist(), places[n:].tolist(), (past - first).tolist(), a.tolist(), b.tolist())
+        return [(i, (s, e, w, xxhash.xxh3_128_digest(joined[x:y]))) for i, s, e, w, x, y in each]
+
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(original, np.uint8) == 10), starts)
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    past = np.append(first[1:], len(starts))
+    long = past - first >= line_words
+    lines = of(line[first[long]], first[long], past[long])
     past = unit_ends(hashes)
-    if not len(past):
-        return []
-    first = np.concatenate(([0], past[:-1]))
-    joined = b" ".join(lower.split())
-    shifted = np.cumsum(ends - starts + 1)
-    a, b = np.concatenate(([0], shifted[past[:-1] - 1])), shifted[past - 1] - 1
-    places = np.concatenate((starts[first], ends[past - 1]))
-    if len(original) != len(text):
-        points = np.cumsum((np.frombuffer(original, np.uint8) & 0xC0) != 0x80)
-        places = np.where(places > 0, points[places - 1], 0)
-    n = len(past)
-    return [
-        (s, e, w, xxhash.xxh3_128_digest(joined[x:y]))
-        for s, e, w, x, y in zip(places[:n].tolist(), places[n:].tolist(), (past - first).tolist(), a.tolist(), b.tolist())
-    ]
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, within: bool = False) -> DataFrame:
-    """One row for each passage to remove: doc_id, part, start, end, n_words, kept_in.
-
-    A unit is repeated if a document with a smaller id has its digest, or with `within` if it is any but the first
-    occurrence by (doc_id, part, place), so that repeats inside a document go too and kept_in may be its own id; runs of repeated units of at least
-    min_words words together are passages. start and end are code points in the original text; kept_in is the first
+    return lines, of(np.arange(len(past)), np.concatenate(([0], past[:-1])), past)
+
+
+def units_of(text: str) -> list[Unit]:
+    """The paragraphs only."""
+    return [u for _, u in all_units(text, 1 << 31)[1]]
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, within: bool = False, line_words: int = 16) -> DataFrame:
+    """One row for each passage to remove: doc_id, part, unit (line or paragraph), start, end, n_words, kept_in.
+
+    Lines of at least line_words words are units as they are (shorter ones are line deduplication's), and so are
+    paragraphs; a passage may have a row of each unit. A unit is repeated if a document with a smaller id has its digest, or with `within` if it is any but the first
+    occurrence by (doc_id, part, place), so that repeats inside a document go too and kept_in may be its own id; repeated lines, and runs of
+    repeated paragraphs of at least min_words words together, are passages. start and end are code points in the original text; kept_in is the first
     of the documents in which their units stay; part is a hash of the text, which tells
     rows of the same id apart. A passage's first and last few words may stay, as units begin and end a few words
     inside it; copies of over 50 words always have enough units inside.
@@ -114,54 +129,58 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.select("doc_id", F.xxhash64("body").alias("part"), "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                each = [units_of(t.as_py()) for t in some["body"]]
-                count = [len(u) for u in each]
-                take = pa.array(np.repeat(np.arange(len(count)), count))
-                flat = [u for own in each for u in own]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": some["doc_id"].take(take),
-                        "part": some["part"].take(take),
-                        "i": pa.array([k for n in count for k in range(n)], pa.int32()),
-                        "start": pa.array([u[0] for u in flat], pa.int32()),
-                        "end": pa.array([u[1] for u in flat], pa.int32()),
-                        "words": pa.array([u[2] for u in flat], pa.int32()),
-                        "digest": pa.array([u[3] for u in flat], pa.binary()),
-                    }
-                )
+        for batch in sliced(batches):
+            each = [all_units(t.as_py(), line_words) for t in batch["body"]]
+            flat = [(row, line, i, *u) for row, kinds in enumerate(each) for line, own in zip((True, False), kinds) for i, u in own]
+            row, line, i, start, end, words, digest = zip(*flat) if flat else ((),) * 7
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch["doc_id"].take(pa.array(row, pa.int64())),
+                    "part": batch["part"].take(pa.array(row, pa.int64())),
+                    "line": pa.array(line, pa.bool_()),
+                    "i": pa.array(i, pa.int32()),
+                    "start": pa.array(start, pa.int32()),
+                    "end": pa.array(end, pa.int32()),
+                    "words": pa.array(words, pa.int32()),
+                    "digest": pa.array(digest, pa.binary()),
+                }
+            )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    units = rows.mapInArrow(run, f"doc_id {kind}, part bigint, i int, start int, end int, words int, digest binary")
+    units = rows.mapInArrow(run, f"doc_id {kind}, part bigint, line boolean, i int, start int, end int, words int, digest binary")
     units = staged(units, "passage-units")
     if within:
         spot = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "part", "i")
-        shared = units.groupBy("digest").agg(F.min(spot).alias("first"), F.max(spot).alias("last"))
-        shared = staged(shared.where("first <> last").select("digest", "first"), "shared-units")
-        repeated = units.join(shared, "digest").where(spot != F.col("first")).withColumn("kept_in", F.col("first.doc_id"))
+        shared = units.groupBy("line", "digest").agg(F.min(spot).alias("first"), F.max(spot).alias("last"))
+        shared = staged(shared.where("first <> last").select("line", "digest", "first"), "shared-units")
+        repeated = units.join(shared, ["line", "digest"]).where(spot != F.col("first")).withColumn("kept_in", F.col("first.doc_id"))
         repeated = repeated.drop("digest", "first").distinct()
     else:
-        shared = units.groupBy("digest").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("none"))
-        shared = staged(shared.where("kept_in < last OR (none AND kept_in IS NOT NULL)").select("digest", "kept_in"), "shared-units")
-        repeated = units.join(shared, "digest").where(~F.col("doc_id").eqNullSafe(F.col("kept_in"))).drop("digest").distinct()
-    place = F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("i"))
-    runs = repeated.withColumn("run", F.col("i") - place).groupBy("doc_id", "part", "run")
+        shared = units.groupBy("line", "digest").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("none"))
+        shared = staged(shared.where("kept_in < last OR (none AND kept_in IS NOT NULL)").select("line", "digest", "kept_in"), "shared-units")
+        repeated = units.join(shared, ["line", "digest"]).where(~F.col("doc_id").eqNullSafe(F.col("kept_in"))).drop("digest").distinct()
+    place = F.row_number().over(Window.partitionBy("doc_id", "part", "line").orderBy("i"))
+    runs = repeated.withColumn("run", F.col("i") - place).groupBy("doc_id", "part", "line", "run")
     passages = runs.agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min("kept_in").alias("kept_in")
     )
-    return passages.where(F.col("n_words") >= min_words).drop("run")
+    passages = passages.where(F.col("line") | (F.col("n_words") >= min_words))
+    return passages.select("doc_id", "part", F.when(F.col("line"), "line").otherwise("paragraph").alias("unit"), "start", "end", "n_words", "kept_in")
 
 
-def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, within: bool = False) -> DataFrame:
+def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, within: bool = False, line_words: int = 16) -> DataFrame:
     """The input rows with the repeated passages cut out of text_col, and column removed: array of (start, end) in
-    the original text. A column named removed in the input is replaced; other columns pass unchanged."""
-    gone = repeated_passages(docs, id_col, text_col, min_words, within).groupBy("doc_id", "part")
-    gone = gone.agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone")).withColumnsRenamed({"doc_id": "gone_id", "part": "gone_part"})
+    the original text, apart from each other. A column named removed in the input is replaced; others pass unchanged."""
+    place = Window.partitionBy("doc_id", "part").orderBy("start", "end")
+    reach = F.max("end").over(place.rowsBetween(Window.unboundedPreceding, -1))
+    gone = repeated_passages(docs, id_col, text_col, min_words, within, line_words)
+    gone = gone.withColumn("apart", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(place))
+    gone = gone.groupBy("doc_id", "part", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    gone = gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("part").alias("gone_part")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    rows = rows.select("row", F.col("row")[id_col].alias("id"), F.coalesce(F.col("row")[text_col], F.lit("")).alias("body"))
-    met = rows.withColumn("part", F.xxhash64("body")).join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("part") == F.col("gone_part")), "left")
+    body = F.coalesce(F.col("row")[text_col], F.lit(""))
+    rows = rows.select("row", F.col("row")[id_col].alias("id"), F.xxhash64(body).alias("part"))
+    met = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("part") == F.col("gone_part")), "left").select("row", body.alias("body"), "gone")
     kept = F.aggregate(
         "gone",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),

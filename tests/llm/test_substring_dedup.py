@@ -102,7 +102,7 @@ def test_within_keeps_the_first_occurrence_only(spark):
     rows = [(1, " ".join([a, again, b, again, c, again]), "en", "s", 1), (2, f"{again} {prose(60)}", "en", "s", 1), (3, prose(200), "en", "s", 1)]
     rows += [rows[0], (None, f"{again} {prose(60)} {again}", "en", "s", 1)]
     assert not [g for g in repeated_passages(table(spark, rows)).collect() if g.doc_id == 1]
-    got = repeated_passages(table(spark, rows), within=True).collect()
+    got = [g for g in repeated_passages(table(spark, rows), within=True).collect() if g.unit == "paragraph"]
     assert Counter(g.doc_id for g in got) == {1: 2, 2: 1, None: 2} and {g.kept_in for g in got} == {1}
     assert all(120 - 26 <= g.n_words <= 120 for g in got)
     first = len(f"{a} {again}")
@@ -113,3 +113,48 @@ def test_the_query_drops_repeats_inside_a_document(spark, tmp_path):
     again = " ".join(f"w{i * i % 9973}" for i in range(120))
     spark.createDataFrame([(1, f"start {again} middle {again} end")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [g.doc_id for g in contract.op8_passage_dedup(spark, str(tmp_path)).collect()] == [1]
+
+
+def plain_lines(rows, least=16):
+    """Every line of at least `least` words but the first of its words by (id, place): (id, start, end, kept_in)."""
+    first, out = {}, set()
+    texts = sorted({(r[0] is None, r[0] or 0, r[1] or "") for r in rows})
+    for none, i, text in texts:
+        at = 0
+        for line in text.split("\n"):
+            words = [m for m in WORD.finditer(line)]
+            if len(words) >= least:
+                key, owner = " ".join(norm(w.group()) for w in words), None if none else i
+                if key in first:
+                    out.add((owner, at + words[0].start(), at + words[-1].end(), first[key]))
+                first.setdefault(key, owner)
+            at += len(line) + 1
+    return out
+
+
+def test_lines_equal_brute_force(spark):
+    rng, rows = random.Random(9), []
+    lines = [" ".join(rng.choice(["É", "ß", "word", f"w{rng.randrange(50)}"]) + str(k) for k in range(rng.randint(10, 30))) for _ in range(40)]
+    for i in range(150):
+        own = [rng.choice(lines) if rng.random() < 0.3 else " ".join(f"x{rng.randrange(10**6)}" for _ in range(20)) for _ in range(rng.randint(1, 8))]
+        rows.append((i, "\n".join(x.upper() + "\t " if rng.random() < 0.2 and "ß" not in x and "É" not in x else f"  {x}" for x in own), "en", "s", 1))
+    got = repeated_passages(table(spark, rows + awkward()[:0]), within=True, min_words=10**6).collect()
+    assert {(g.doc_id, g.start, g.end, g.kept_in) for g in got} and {g.unit for g in got} == {"line"}
+    want, starts = plain_lines(rows), {}
+    covered = {(g.doc_id, g.start, g.end): g for g in got}
+    for i, a, b, kept in want:  # neighbouring repeated lines are one row
+        assert any(g.doc_id == i and g.start <= a and b <= g.end and g.kept_in <= kept for g in covered.values())
+    for g in got:
+        inside = sorted((a, b) for i, a, b, _ in want if i == g.doc_id and g.start <= a and b <= g.end)
+        assert inside and inside[0][0] == g.start and inside[-1][1] == g.end
+
+
+def test_a_line_of_20_words_in_many_documents(spark):
+    rng = random.Random(2)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line = prose(20)
+    rows = [(i, f"{prose(60)}\n{line}\n{prose(60)}", "en", "s", 1) for i in range(50)]
+    got = repeated_passages(table(spark, rows), within=True).collect()
+    assert sorted(g.doc_id for g in got) == list(range(1, 50)) and {g.kept_in for g in got} == {0}
+    assert all(rows[g.doc_id][1][g.start : g.end] == line for g in got)
+    assert all(line not in r.text for r in without_passages(table(spark, rows)).where("doc_id > 0").collect())
