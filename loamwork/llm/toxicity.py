@@ -24,8 +24,8 @@ CACHED, BLOCK, HASHED = 200_000, 200, 10_000
 
 @dataclass(frozen=True)
 class Settings:
-    """n-grams from `shortest` to `longest` characters fall into `buckets`; at most `rows_per_label` labelled rows of
-    at most `row_chars` characters each are learnt from (so at most 2 * rows_per_label * row_chars characters)."""
+    """n-grams from `shortest` to `longest` characters fall into `buckets`; at most `rows_per_label` labelled rows
+    of each label are learnt from, whole, as many of them as together have at most `chars_per_label` characters."""
 
     buckets: int = 1 << 18
     dim: int = 16
@@ -35,8 +35,8 @@ class Settings:
     epochs: int = 16
     batch: int = 256
     rate: float = 0.3
-    rows_per_label: int = 4_000
-    row_chars: int = 20_000
+    rows_per_label: int = 5_000
+    chars_per_label: int = 20_000_000
     seed: int = 17
 
 
@@ -224,7 +224,9 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> Scorer:
-    """Learn from a bounded sample of labelled rows (see Settings), never from those of held_out().
+    """Learn from a bounded sample of labelled rows (see Settings), in the order of a seeded hash, never from those of
+    held_out(). Sampled texts are learnt from whole, whatever their length; one that the bound on characters has no
+    room for is passed over.
 
     A fifth of the sample (remainder 1) sets the calibration, weighted to the labels' true shares. Without
     labels of both kinds every text scores the share of toxic labels (0 without labels). Null or other labels
@@ -241,13 +243,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     constant = Scorer(s, np.zeros(s.buckets, np.float32), 0.0, 1.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     if min(shares.get(0, 0), shares.get(1, 0)) == 0:
         return constant
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("body")).where(
-        F.char_length("body") <= s.row_chars
-    )
-    rows = []
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("body"))
+    order = F.xxhash64("doc_id", F.lit(s.seed)).alias("place")
+    asked = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(s.rows_per_label) for k in (0, 1)]
+    asked = asked[0].unionByName(asked[1])
+    sizes = texts.join(F.broadcast(asked), "doc_id").groupBy("doc_id", "toxic", order).agg(F.sum(F.char_length("body")).alias("n")).collect()
+    taken = []
     for kind in (0, 1):
-        some = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id", F.lit(s.seed)), "doc_id").limit(s.rows_per_label)
-        rows += texts.join(F.broadcast(some), "doc_id").select("doc_id", "body", "toxic", (F.crc32(F.col("doc_id").cast("string")) % 5 == 1).alias("aside")).collect()
+        left = s.chars_per_label
+        for r in sorted((r["place"], r["doc_id"], r["n"]) for r in sizes if r["toxic"] == kind):
+            if r[2] <= left:
+                left -= r[2]
+                taken.append((r[1],))
+    if not taken:
+        return constant
+    chosen = asked.join(docs.sparkSession.createDataFrame(taken, known.select("doc_id").schema), "doc_id")
+    aside = (F.crc32(F.col("doc_id").cast("string")) % 5 == 1).alias("aside")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "body", "toxic", aside).collect()
     rows = sorted(set(rows))
     if not rows:
         return constant
