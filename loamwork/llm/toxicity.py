@@ -50,10 +50,17 @@ FACTOR, MIXER = np.uint64(1_099_511_628_211), np.uint64(0x9E3779B97F4A7C15)
 
 def ngrams(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word itself and of its n-grams, with marks at its ends, and where each word's buckets end."""
-    done = [_ngrams(words[i : i + HASHED], s) for i in range(0, len(words), HASHED)]
-    if not done:
+    if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    return np.concatenate([b for b, _ in done]), np.cumsum(np.concatenate([n for _, n in done]))
+    done = [_ngrams(words[i : i + HASHED], s) for i in range(0, len(words), HASHED)]
+    ends = np.cumsum(np.concatenate([n for _, n in done]))
+    at = int(ends[-1])
+    buckets = np.empty(at, np.int32)
+    while done:  # from the end, so that each part's memory goes once it is copied
+        own, _ = done.pop()
+        buckets[at - len(own) : at] = own
+        at -= len(own)
+    return buckets, ends
 
 
 def _ngrams(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +101,11 @@ class Corpus:
         self.gram_starts = np.concatenate(([0], self.gram_ends[:-1]))
 
     def word_scores(self, by_gram: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(by_gram[self.grams], self.gram_starts) / (self.gram_ends - self.gram_starts)
+        out = np.empty(len(self.gram_ends), by_gram.dtype)
+        for at in range(0, len(out), HASHED):
+            starts, ends = self.gram_starts[at : at + HASHED], self.gram_ends[at : at + HASHED]
+            out[at : at + HASHED] = np.add.reduceat(by_gram[self.grams[starts[0] : ends[-1]]], starts - starts[0])
+        return out / (self.gram_ends - self.gram_starts)
 
     def best_windows(self, word_scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each text: where its highest window starts, and that window's mean."""
@@ -152,10 +163,10 @@ class SubwordSoftmax:
     def fit(self, texts: list[str], toxic: np.ndarray) -> None:
         c, rng = Corpus(texts, self.s), self.rng
         past = [np.zeros(self.s.buckets, np.float32), np.zeros_like(self.weights), np.zeros_like(self.bias)]
-        pairs = np.unique(c.doc.astype(np.int64) * (int(c.words.max()) + 1) + c.words)
-        held, word = np.divmod(pairs, int(c.words.max()) + 1)
         n = len(c.gram_ends)
-        yes, no = np.bincount(word[toxic[held] == 1], minlength=n), np.bincount(word[toxic[held] == 0], minlength=n)
+        yes, no = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for start, end, label in zip(c.starts, c.ends, toxic):
+            (yes if label else no)[np.unique(c.words[start:end])] += 1
         scores = np.log((yes + 0.2) / (toxic.sum() + 1)) - np.log((no + 1.0) / (len(toxic) - toxic.sum() + 1))
         for epoch in range(self.s.epochs):
             if epoch >= self.s.epochs // 6:
