@@ -16,14 +16,21 @@ from .passages import TOKEN
 #: Patterns of technical names and figures, cues of statements, words that are never names.
 ACRONYM = r"(?<![\p{L}\p{N}_])[A-Z0-9]{2,}(?:[-.][A-Z0-9]+)*(?![\p{L}\p{N}_])"
 HYPHENED = r"(?<![\p{L}\p{N}_])[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+(?![\p{L}\p{N}_])"
-MIXED = r"(?<![\p{L}\p{N}_])(?:[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+|[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)+)(?![\p{L}\p{N}_])"
+MIXED = r"(?<![\p{L}\p{N}_])(?:[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+|\.?[A-Z]+[a-z0-9]+\.[A-Za-z0-9]+|[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)+)(?![\p{L}\p{N}_])"
 QUOTED, BRACKETED = r"[\"']([^\"']{2,40})[\"']", r"\(([^)]{2,40})\)"
 FIGURE = (
-    r"(?<![\p{L}\p{N}_])[0-9]+(?:\.[0-9]+)?\s*(?:%|ms|s|fps|kb|mb|gb|ghz|mhz|pixels?|điểm|lần|bước|epochs?|batch|k|K|M|B)(?![\p{L}\p{N}_])"
+    r"(?<![\p{L}\p{N}_])[0-9]+(?:\.[0-9]+)?\s*(?:%|ms|s|fps|kb|mb|gb|ghz|mhz|pixels?|điểm|lần|bước|epoch|epochs|batch|k|K|M|B)(?![\p{L}\p{N}_])"
     r"|(?<![\p{L}\p{N}_])[A-Za-z_]+\s*=\s*[0-9]+(?:\.[0-9]+)?|(?<![\p{L}\p{N}_])v[0-9]+(?:\.[0-9]+)*(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])[0-9]+\.[0-9]+(?![\p{L}\p{N}_])"
 )
-CUES = "hợp nhất|tích hợp|tối ưu|cung cấp|hỗ trợ|xây dựng|phát triển|áp dụng|triển khai|đánh giá|phân tích|nâng cao|cải tiến|tự động|xử lý|kết nối|huấn luyện|đạt được|thực hiện|thiết kế|kiểm thử".split("|")
-STOP = "NÀY|TRÊN|DƯỚI|CHÚNG|MỘT|CÁC|NHỮNG|VIỆC|THEO|TRONG|CHO|VỚI|KHI|ĐƯỢC|LÀ|CỦA|VÀ|HOẶC|HÌNH|BẢNG".split("|")
+CUES = [
+    "hợp nhất", "tích hợp", "tối ưu", "cung cấp", "hỗ trợ", "xây dựng", "phát triển", "áp dụng", "triển khai",
+    "đánh giá", "phân tích", "nâng cao", "cải tiến", "tự động", "xử lý", "kết nối", "huấn luyện", "đạt được",
+    "thực hiện", "thiết kế", "kiểm thử",
+]
+STOP = [
+    "NÀY", "TRÊN", "DƯỚI", "CHÚNG", "MỘT", "CÁC", "NHỮNG", "VIỆC", "THEO", "TRONG", "CHO", "VỚI", "KHI", "ĐƯỢC",
+    "LÀ", "CỦA", "VÀ", "HOẶC", "HÌNH", "BẢNG",
+]
 LABELS = {"H": 0, "P": 1, "G": 2}
 INTERVENTIONS = ["p_light", "p_medium", "p_heavy", "g_independent"]
 

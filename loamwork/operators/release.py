@@ -14,19 +14,44 @@ from ..functions.ranking import ranked
 from .gates import any_in, first_of
 
 #: Words of Vietnamese prose, catalogue classes, faculties and titles that decide at once.
-PROSE_WORDS = "và|của|trong|được|các|cho|với|nghiên cứu|đề tài|khóa luận|đồ án|báo cáo|hệ thống|trường".split("|")
+PROSE_WORDS = [
+    "và", "của", "trong", "được", "các", "cho", "với", "nghiên cứu", "đề tài", "khóa luận", "đồ án", "báo cáo",
+    "hệ thống", "trường",
+]
 MARKS = "àáảãạăắằẳẵặâấầẩẫậđèéẻẽẹêếềểễệìíỉĩịòóỏõọôốồổỗộơớờởỡợùúủũụưứừửữựỳýỷỹỵ"
-PERIODICALS = "tạp chí|bài báo|kỷ yếu|hội thảo|journal|proceedings|conference".split("|")
+PERIODICALS = [
+    "tạp chí", "bài báo", "kỷ yếu", "hội thảo", "journal", "proceedings", "conference",
+]
 DEWEY, OTHER_DEWEY = ["004", "005", "006", "621.39"], ["658", "657", "330", "340", "570", "660", "690", "300", "400", "420"]
-OTHER_FACULTIES = "quản trị kinh doanh|quản trị nhân lực|marketing|kinh tế|tài chính|ngân hàng|kế toán|kiểm toán|luật|công nghệ sinh học|sinh học|xây dựng|kỹ thuật công trình|xã hội học|công tác xã hội|ngôn ngữ anh|ngôn ngữ trung|du lịch|đông nam á".split("|")
+OTHER_FACULTIES = [
+    "quản trị kinh doanh", "quản trị nhân lực", "marketing", "kinh tế", "tài chính", "ngân hàng", "kế toán",
+    "kiểm toán", "luật", "công nghệ sinh học", "sinh học", "xây dựng", "kỹ thuật công trình", "xã hội học",
+    "công tác xã hội", "ngôn ngữ anh", "ngôn ngữ trung", "du lịch", "đông nam á",
+]
 OWN_FACULTIES = ["công nghệ thông tin", "tin học", "khoa học máy tính", "toán - tin"]
-#: Schools by the first pattern that fits.
+#: Terms of schools; the first school with a term in the name wins. VNU-UET is also what SCHOOL_PAIRS tells.
 SCHOOLS = [
-    ("bách khoa hà nội|hust", "HUST"), ("bách khoa|bku|hcmut", "HCMUT"), ("công nghệ thông tin|uit", "UIT"), ("khoa học tự nhiên|hcmus", "HCMUS"),
-    ("đại học công nghệ|uet|công nghệ.*(?:hà nội|quốc gia)|(?:hà nội|quốc gia).*công nghệ", "VNU-UET"), ("bưu chính|ptit", "PTIT"), ("sư phạm kỹ thuật|ute", "HCMUTE"),
-    ("cần thơ|ctu", "CTU"), ("sư phạm hà nội|hnue", "HNUE"), ("giao thông|utc", "UTC"), ("công nghiệp|iuh|haui", "IUH / HaUI"), ("an giang", "AGU"), ("sài gòn", "SGU"),
-    ("thủy lợi", "TLU"), ("xây dựng", "NUCE"), ("quốc gia tp. hồ chí minh", "VNU-HCM"), ("quốc gia hà nội", "VNU"), ("mở|ou", "OU"),
-]
+    (["bách khoa hà nội", "hust"], "HUST"),
+    (["bách khoa", "bku", "hcmut", "b`ch khoa"], "HCMUT"),
+    (["công nghệ thông tin", "uit"], "UIT"),
+    (["khoa học tự nhiên", "hcmus"], "HCMUS"),
+    (["đại học công nghệ", "uet"], "VNU-UET"),
+    (["bưu chính", "ptit"], "PTIT"),
+    (["sư phạm kỹ thuật", "ute"], "HCMUTE"),
+    (["cần thơ", "ctu"], "CTU"),
+    (["sư phạm hà nội", "hnue"], "HNUE"),
+    (["giao thông", "utc"], "UTC"),
+    (["công nghiệp", "iuh", "haui"], "IUH / HaUI"),
+    (["an giang"], "AGU"),
+    (["sài gòn"], "SGU"),
+    (["thủy lợi"], "TLU"),
+    (["xây dựng"], "NUCE"),
+    (["quốc gia tp. hồ chí minh"], "VNU-HCM"),
+    (["quốc gia hà nội"], "VNU"),
+    (["mở", "ou"], "OU"),
+]
+#: A school whose name has the first term and one of the others.
+SCHOOL_PAIRS = {"VNU-UET": ("công nghệ", ["hà nội", "quốc gia"])}
 
 
 def vietnamese(text: Column, marks: int = 80, words: int = 3) -> Column:
@@ -54,7 +79,14 @@ def catalogue_reason(title: Column, dewey: Column, faculty: Column, on_topic: Co
 
 
 def school(name: Column) -> Column:
-    rules = lambda low: first_of([(low == "", "unclassified"), *((low.rlike(p), s) for p, s in SCHOOLS)], "other")
+    def found(low: Column, terms: list[str], code: str) -> Column:
+        some = any_in(low, terms)
+        if code in SCHOOL_PAIRS:
+            first, others = SCHOOL_PAIRS[code]
+            some = some | (F.contains(low, F.lit(first)) & any_in(low, others))
+        return some
+
+    rules = lambda low: first_of([(low == "", "unclassified"), *((found(low, terms, code), code) for terms, code in SCHOOLS)], "other")
     return T.bound(F.lower(T.filled(name)), rules)
 
 

@@ -12,16 +12,50 @@ from .gates import any_in, first_of
 
 #: Keywords of each topic; of topics with equal scores the first one here wins.
 TOPICS = {
-    "artificial_intelligence": "trí tuệ nhân tạo|học máy|học sâu|deep learning|machine learning|học có giám sát|học không giám sát|học tăng cường|reinforcement learning|xử lý ngôn ngữ tự nhiên|nlp|ngôn ngữ tự nhiên|phân tích cảm xúc|thị giác máy tính|computer vision|nhận dạng|phát hiện khuôn mặt|phát hiện đối tượng|phân loại ảnh|nhận diện|yolo|cnn|transformer|bert|mạng nơ-ron|neural network|dự đoán|mô hình ngôn ngữ|llm|phân cụm|clustering|trích xuất đặc trưng|nhận dạng giọng nói|speech|ocr|nhận dạng chữ viết|khai phá văn bản|text mining|segmentation|thực tế ảo|vr|tương tác người máy|hci".split("|"),
-    "cybersecurity": "an toàn thông tin|an ninh mạng|bảo mật|mật mã|mã hóa|tấn công|phát hiện xâm nhập|ids|ips|malware|mã độc|phishing|ransomware|firewall|tường lửa|chữ ký số|lỗ hổng|vulnerability|penetration|xâm nhập|bảo vệ dữ liệu|mật mã học|cryptography|blockchain|hợp đồng thông minh|smart contract|antivirus|ddos|xác thực|authen".split("|"),
-    "networking": "mạng máy tính|mạng không dây|truyền thông|giao thức|routing|định tuyến|iot|internet of things|mạng cảm biến|sensor network|wsn|sdn|software-defined|5g|4g|lte|wifi|rfid|lora|điện toán đám mây|cloud computing|edge computing|sao chép dữ liệu|phân tán|distributed system|truyền dữ liệu|băng thông|trễ mạng".split("|"),
-    "information_systems": "hệ thống thông tin|cơ sở dữ liệu|database|sql|nosql|kho dữ liệu|data warehouse|khai phá dữ liệu|data mining|erp|crm|thương mại điện tử|e-commerce|quản lý thông tin|truy vấn|etl|big data|dữ liệu lớn|quản lý bệnh viện|quản lý nhân sự|quản lý bán hàng|gis|địa lý|hỗ trợ ra quyết định|dss|kinh doanh thông minh|bi|business intelligence".split("|"),
-    "software_engineering": "kỹ thuật phần mềm|công nghệ phần mềm|thiết kế hệ thống|phát triển ứng dụng|microservices|agile|scrum|uml|design pattern|kiến trúc phần mềm|web|website|mobile|android|ios|react|flutter|node|django|spring|kiểm thử phần mềm|software testing|test automation|refactoring|game|unity|frontend|backend|fullstack|devops|ci/cd|api".split("|"),
+    "artificial_intelligence": [
+        "trí tuệ nhân tạo", "học máy", "học sâu", "deep learning", "machine learning", "học có giám sát",
+        "học không giám sát", "học tăng cường", "reinforcement learning", "xử lý ngôn ngữ tự nhiên", "nlp",
+        "ngôn ngữ tự nhiên", "phân tích cảm xúc", "thị giác máy tính", "computer vision", "nhận dạng",
+        "phát hiện khuôn mặt", "phát hiện đối tượng", "phân loại ảnh", "nhận diện", "yolo", "cnn", "transformer",
+        "bert", "mạng nơ-ron", "neural network", "dự đoán", "mô hình ngôn ngữ", "llm", "phân cụm", "clustering",
+        "trích xuất đặc trưng", "nhận dạng giọng nói", "speech", "ocr", "nhận dạng chữ viết", "khai phá văn bản",
+        "text mining", "segmentation", "thực tế ảo", "vr", "tương tác người máy", "hci",
+    ],
+    "cybersecurity": [
+        "an toàn thông tin", "an ninh mạng", "bảo mật", "mật mã", "mã hóa", "tấn công", "phát hiện xâm nhập", "ids",
+        "ips", "malware", "mã độc", "phishing", "ransomware", "firewall", "tường lửa", "chữ ký số", "lỗ hổng",
+        "vulnerability", "penetration", "xâm nhập", "bảo vệ dữ liệu", "mật mã học", "cryptography", "blockchain",
+        "hợp đồng thông minh", "smart contract", "antivirus", "ddos", "xác thực", "authen",
+    ],
+    "networking": [
+        "mạng máy tính", "mạng không dây", "truyền thông", "giao thức", "routing", "định tuyến", "iot",
+        "internet of things", "mạng cảm biến", "sensor network", "wsn", "sdn", "software-defined", "5g", "4g", "lte",
+        "wifi", "rfid", "lora", "điện toán đám mây", "cloud computing", "edge computing", "sao chép dữ liệu",
+        "phân tán", "distributed system", "truyền dữ liệu", "băng thông", "trễ mạng",
+    ],
+    "information_systems": [
+        "hệ thống thông tin", "cơ sở dữ liệu", "database", "sql", "nosql", "kho dữ liệu", "data warehouse",
+        "khai phá dữ liệu", "data mining", "erp", "crm", "thương mại điện tử", "e-commerce", "quản lý thông tin",
+        "truy vấn", "etl", "big data", "dữ liệu lớn", "quản lý bệnh viện", "quản lý nhân sự", "quản lý bán hàng",
+        "gis", "địa lý", "hỗ trợ ra quyết định", "dss", "kinh doanh thông minh", "bi", "business intelligence",
+    ],
+    "software_engineering": [
+        "kỹ thuật phần mềm", "công nghệ phần mềm", "thiết kế hệ thống", "phát triển ứng dụng", "microservices",
+        "agile", "scrum", "uml", "design pattern", "kiến trúc phần mềm", "web", "website", "mobile", "android", "ios",
+        "react", "flutter", "node", "django", "spring", "kiểm thử phần mềm", "software testing", "test automation",
+        "refactoring", "game", "unity", "frontend", "backend", "fullstack", "devops", "ci/cd", "api",
+    ],
 }
 #: What a title without keywords falls back on by its faculty.
 FACULTY_TOPICS = [("phần mềm", "software_engineering"), ("an toàn", "cybersecurity"), ("mật mã", "cybersecurity"), ("mạng", "networking"), ("truyền thông", "networking"), ("hệ thống", "information_systems")]
 #: Terms of computing in a key without marks, for evidence in a body.
-BODY_TERMS = "thuat toan|lap trinh|co so du lieu|phan mem|he thong|tri tue nhan tao|hoc may|hoc sau|mang no ron|du lieu|server|client|api|database|web|ung dung|mo hinh|giao thuc|an toan thong tin|ma nguon|ngon ngu|dich may|nhan dang|thi giac may tinh|xu ly anh|robot|cam bien|java|python|php|sql|html|css|javascript|reactjs|react native|django|data warehouse|olap|ontology|tro ly ao".split("|")
+BODY_TERMS = [
+    "thuat toan", "lap trinh", "co so du lieu", "phan mem", "he thong", "tri tue nhan tao", "hoc may", "hoc sau",
+    "mang no ron", "du lieu", "server", "client", "api", "database", "web", "ung dung", "mo hinh", "giao thuc",
+    "an toan thong tin", "ma nguon", "ngon ngu", "dich may", "nhan dang", "thi giac may tinh", "xu ly anh",
+    "robot", "cam bien", "java", "python", "php", "sql", "html", "css", "javascript", "reactjs", "react native",
+    "django", "data warehouse", "olap", "ontology", "tro ly ao",
+]
 OVERRIDES = ["hệ thống", "phần mềm", "ứng dụng", "website", "xây dựng hệ thống", "thuật toán", "áp dụng"]
 
 
@@ -75,12 +109,37 @@ def it_topic(title: Column, abstract: Column, keywords: Column, faculty: Column,
 
 
 #: Title terms of the relevance decision, in keys without marks.
-HIGH_SIGNAL = "tri tue nhan tao|artificial intelligence|hoc may|machine learning|hoc sau|deep learning|mang no ron|neural network|xu ly ngon ngu|computer vision|thi giac may tinh|xu ly anh|nhan dang|phan doan anh|phan mem|software|he thong thong tin|co so du lieu|database|sql|lap trinh|thuat toan|algorithm|an toan thong tin|bao mat|cloud|dien toan dam may|internet of things|iot|web application|ung dung web|xay dung website|android|smartphone|mobilegis|client server|khai pha du lieu|data mining|du lieu lon|big data|ontology|dich may|tro ly ao|chatbot|react|django|data warehouse|olap|robot|giao thuc|mang may tinh".split("|")
-BUSINESS = "marketing|kinh doanh|doanh thu|ban hang|nguoi tieu dung|y dinh mua|thai do|long tin|ngan hang|chung khoan|tai chinh|giao thuc an|content marketing|seo website".split("|")
-BIOLOGY = "vi khuan|virus|gene | gen |enzyme|te bao goc|dua leo|tom the|probiotic|len men|nam ky sinh|sinh hoc|dau nanh|dna|pcr|lactobacillus|gan do tac|men gan".split("|")
-CIVIL = "be tong|ket cau khung|ket cau bon|cong trinh dan dung|co dat|geopolymer".split("|")
-HARDWARE = "vi dieu khien|pic16|pic 16|pic18|pic 18| plc |mach dem|mach chong|thiet bi dien|he thong dien|bang chuyen|rua oto tu dong|bao chay tu dong|led 3d".split("|")
-COMPUTING = "tri tue nhan tao|hoc may|machine learning|hoc sau|deep learning|mang no ron|neural network|computer vision|thi giac may tinh|xu ly anh|nhan dang|phan doan anh|ontology|dich may|tro ly ao|web|website|phan mem|ung dung|he thong|data warehouse|olap|react|django".split("|")
+HIGH_SIGNAL = [
+    "tri tue nhan tao", "artificial intelligence", "hoc may", "machine learning", "hoc sau", "deep learning",
+    "mang no ron", "neural network", "xu ly ngon ngu", "computer vision", "thi giac may tinh", "xu ly anh",
+    "nhan dang", "phan doan anh", "phan mem", "software", "he thong thong tin", "co so du lieu", "database",
+    "sql", "lap trinh", "thuat toan", "algorithm", "an toan thong tin", "bao mat", "cloud", "dien toan dam may",
+    "internet of things", "iot", "web application", "ung dung web", "xay dung website", "android", "smartphone",
+    "mobilegis", "client server", "khai pha du lieu", "data mining", "du lieu lon", "big data", "ontology",
+    "dich may", "tro ly ao", "chatbot", "react", "django", "data warehouse", "olap", "robot", "giao thuc",
+    "mang may tinh",
+]
+BUSINESS = [
+    "marketing", "kinh doanh", "doanh thu", "ban hang", "nguoi tieu dung", "y dinh mua", "thai do", "long tin",
+    "ngan hang", "chung khoan", "tai chinh", "giao thuc an", "content marketing", "seo website",
+]
+BIOLOGY = [
+    "vi khuan", "virus", "gene ", " gen ", "enzyme", "te bao goc", "dua leo", "tom the", "probiotic", "len men",
+    "nam ky sinh", "sinh hoc", "dau nanh", "dna", "pcr", "lactobacillus", "gan do tac", "men gan",
+]
+CIVIL = [
+    "be tong", "ket cau khung", "ket cau bon", "cong trinh dan dung", "co dat", "geopolymer",
+]
+HARDWARE = [
+    "vi dieu khien", "pic16", "pic 16", "pic18", "pic 18", " plc ", "mach dem", "mach chong", "thiet bi dien",
+    "he thong dien", "bang chuyen", "rua oto tu dong", "bao chay tu dong", "led 3d",
+]
+COMPUTING = [
+    "tri tue nhan tao", "hoc may", "machine learning", "hoc sau", "deep learning", "mang no ron",
+    "neural network", "computer vision", "thi giac may tinh", "xu ly anh", "nhan dang", "phan doan anh",
+    "ontology", "dich may", "tro ly ao", "web", "website", "phan mem", "ung dung", "he thong", "data warehouse",
+    "olap", "react", "django",
+]
 KINDS = ["bachelor_thesis", "capstone_project", "master_thesis", "doctoral_dissertation", "research_report"]
 
 

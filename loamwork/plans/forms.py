@@ -170,7 +170,8 @@ _TYPE = _case(
 )
 _UNIT = _case([(_any("ukey", terms), name) for name, terms in G.UNITS.items()], "'other'")
 _BUCKETS = _case([("year IS NULL", "unknown"), ("year <= 2010", "pre_2011"), ("year <= 2015", "2011_2015"), ("year <= 2019", "2016_2019"), ("year <= 2021", "2020_2021"), ("year = 2022", "2022")], "'2023_plus'")
-_SCHOOL = _case([("low = ''", "unclassified"), *((f"regexp_matches(low, '{p}')", s) for p, s in R.SCHOOLS)], "'other'")
+_UET = "(contains(low, 'công nghệ') AND (contains(low, 'hà nội') OR contains(low, 'quốc gia')))"
+_SCHOOL = _case([("low = ''", "unclassified"), *((_any("low", terms) + (f" OR {_UET}" if code == "VNU-UET" else ""), code) for terms, code in R.SCHOOLS)], "'other'")
 
 
 @query(f"""WITH {ROWS}, {_KEYED}, u AS (SELECT *, {_ascii("faculty || ' ' || phrase")} AS ukey FROM k)
