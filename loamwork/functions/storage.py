@@ -19,15 +19,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/loamwork-{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, computes once.
 
+    compression is the session's unless it is given.
     Results are read lazily, so tables stay until clear_staged(), or else until the session's JVM ends.
     """
     spark = df.sparkSession
     root = shared_dir(spark)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _folder(spark, root)[1].deleteOnExit(_folder(spark, root)[0])
     return spark.read.schema(df.schema).parquet(path)
 
