@@ -101,7 +101,7 @@ def _pre_tokens(chunks: DataFrame, pattern: str) -> DataFrame:
         for batch in sliced(batches):
             ends = []
             for text, last in zip(batch["chunk"], batch["last"]):
-                own = [m.end() for m in pieces.finditer(text.as_py())]
+                own = np.fromiter((m.end() for m in pieces.finditer(text.as_py())), np.int32)
                 ends.append(own if last.as_py() else own[:-1])
             yield _replaced(batch, [], ends=pa.array(ends, pa.list_(pa.int32())))
 
@@ -116,9 +116,10 @@ def _encode_stitched(rows: DataFrame, vocabulary: _Shared) -> DataFrame:
         ids = _merger(vocabulary)
         for batch in sliced(batches):
             done = []
-            for text, ends, start, stop in zip(*(batch[c].to_pylist() for c in ("chunk", "ends", "from", "to"))):
+            for text, ends, start, stop in zip(*(batch[c] for c in ("chunk", "ends", "from", "to"))):
+                text, ends, start, stop = text.as_py(), ends.values.to_numpy(), start.as_py(), stop.as_py()
                 stop = len(text) if stop is None else stop
-                cuts = [start, *(e for e in ends if start < e <= stop)]
+                cuts = [start, *ends[(ends > start) & (ends <= stop)].tolist()]
                 done.append(b"".join([ids[text[a:b]] for a, b in zip(cuts, cuts[1:])]))
             yield _replaced(batch, ["chunk", "ends", "from", "to"], token_ids=pa.array(done, pa.binary()))
 
@@ -139,6 +140,9 @@ def encode_documents(
     Each match of the pattern is encoded on its own by the ranks; there are no special tokens. Null texts
     count as empty and have no ids. Null ids and repeated rows are ordinary: every row gets its own result.
     An empty table gives an empty result. Other columns are ignored, whatever their names.
+
+    The result is written before it is returned: what decodes it runs after the encoding workers, not beside them, and
+    a lost executor doesn't encode again.
     """
     if not 0 < overlap <= chunk_chars:
         raise ValueError("overlap must be positive and at most chunk_chars")
@@ -193,11 +197,8 @@ def encode_documents(
     )
     rest = long.join(apart, same(long, apart), "left_semi").drop("part")
     fit = long.select("doc_id", "part").join(joined, same(long, joined)).select(long["doc_id"], "token_ids")
-    return (
-        short.unionByName(fit)
-        .unionByName(_encode_whole(rest, vocabulary, pattern))
-        .withColumn("n_tokens", F.floor(F.octet_length("token_ids") / 4).cast("long"))
-    )
+    encoded = short.unionByName(fit).unionByName(_encode_whole(rest, vocabulary, pattern))
+    return staged(encoded, "encoded", "zstd").withColumn("n_tokens", F.floor(F.octet_length("token_ids") / 4).cast("long"))
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids") -> DataFrame:
