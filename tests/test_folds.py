@@ -6,6 +6,7 @@ import unicodedata
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loamwork.functions import healing, lineage
 from loamwork.operators import layout as L
@@ -97,41 +98,84 @@ def test_lineage_ranges_cover_each_character(text):
     assert "  " not in n.text
 
 
-def test_healing_keeps_case_and_leaves_words_alone():
-    assert healing.heal("dữliệu Dữliệu HỆTHỐNG DỮLIỆU") == "dữ liệu Dữ liệu HỆ THỐNG DỮ LIỆU"
-    assert healing.heal("Xin chào thế giới.") == "Xin chào thế giới."
-    assert healing.heal("thứ3") == "thứ 3" and healing.heal("Ƣu ƣu") == "Ưu ưu"
-    counts = {"nghiên": 5, "cứu": 5, "khoa": 4, "học": 6}
+def test_healing_keeps_case_and_leaves_words_alone(spark):
+    assert healing.heal("dữliệu Dữliệu HỆTHỐNG DỮLIỆU") == "dữ liệu Dữ Liệu HỆ THỐNG DỮ LIỆU"
+    assert healing.heal("Xin chào thế giới.") == "Xin chào thế giới." and healing.heal("dữ dội (a ,b)") == "dữ dội (a ,b)"
+    assert healing.heal("thứ3 thức3.2") == "thứ 3 thức 3.2" and healing.heal("Ƣu ƣu") == "Ưu ưu"
+    assert healing.heal("thứkth sốN ởParis các • hàm") == "thứ kth số N ở Paris các hàm"
+    counts = {"nghiên": 5, "cứu": 5, "khoa": 4, "học": 6, "a": 9}
     assert healing.split_syllables("nghiêncứu", counts) == "nghiên cứu"
+    assert healing.split_syllables("NghiênCứu", counts) == "Nghiên cứu"
+    assert healing.split_syllables("NGHIÊNCỨU", counts) == "NGHIÊN CỨU"
+    assert healing.split_syllables("acứuhọc", counts) == "acứuhọc"
     assert healing.split_syllables("nghiêncứu", {}) == "nghiêncứu"
-
-
-def line(text, y, x0=50, x1=500, size=12, page=0):
-    return {"doc_id": 1, "page": page, "width": 600.0, "height": 800.0, "x0": float(x0), "y0": float(y), "x1": float(x1), "y1": float(y + 12), "size": float(size), "text": text}
-
-
-def test_layout_units():
-    page = [line("CHƯƠNG 1 GIỚI THIỆU", 80, size=16), line("Đoạn văn thứ nhất của chương", 120), line("tiếp tục ở dòng hai.", 136)]
-    page += [line("• mục một", 170), line("• mục hai", 186), line("Hình 1 Sơ đồ", 230)]
-    kinds = [(u.kind, u.text) for u in L.page_units(page, 600, 800)]
-    assert kinds == [
-        ("heading", "CHƯƠNG 1 GIỚI THIỆU"), ("paragraph", "Đoạn văn thứ nhất của chương tiếp tục ở dòng hai."),
-        ("bullet_item", "• mục một"), ("bullet_item", "• mục hai"), ("caption", "Hình 1 Sơ đồ"),
-    ]
-
-
-def test_paragraphs_go_on_across_pages(spark):
-    lines = [line("Câu này chưa kết thúc và", 760), line("nó tiếp tục ở trang sau.", 60, page=1), line("Đoạn khác.", 200, page=1)]
-    df = spark.createDataFrame(lines, "doc_id long, page int, width double, height double, x0 double, y0 double, x1 double, y1 double, size double, text string")
-    got = [(r.kind, r.page_start, r.page_end, r.text) for r in L.document_units(df).orderBy("ordinal").collect()]
-    assert got == [("paragraph", 0, 1, "Câu này chưa kết thúc và nó tiếp tục ở trang sau."), ("paragraph", 1, 1, "Đoạn khác.")]
-
-
-def test_tables_and_columns():
-    rows = [line(t, y, x, x + 40) for y in (100, 130, 160) for t, x in (("a", 50), ("b", 200), ("c", 400))]
-    assert [u.kind for u in L.page_units(rows, 600, 800)] == ["table_like"] * 3
-    cols = [line("left one", 100, 50, 250), line("left two.", 116, 50, 250), line("right one", 100, 330, 550, 12)]
-    assert [u.text for u in L.page_units(cols, 600, 800)][0] == "left one left two."
+    texts = spark.createDataFrame([(0, None), (1, ""), (2, "dữliệu nghiêncứu, x")], "id int, text string")
+    got = texts.select("id", healing.healed(F.col("text")).alias("h"), healing.unglued(F.col("text"), counts).alias("u")).orderBy("id").collect()
+    assert [tuple(r)[1:] for r in got] == [(None, None), ("", ""), ("dữ liệu nghiêncứu, x", "dữliệu nghiên cứu, x")]
+
+
+LINES = (
+    "doc_id long, page int, line int, width double, height double, x0 double, y0 double, x1 double, y1 double, text string, "
+    "source_start long, source_end long, spans array<struct<text: string, font: string, size: double, x0: double>>"
+)
+
+
+def line(text, y=72.0, x0=72.0, x1=300.0, page=0, font="Times-Roman", size=12.0, n=0, cells=None):
+    spans = [{"text": t, "font": font, "size": size, "x0": float(x)} for t, x in (cells or [(text, x0)])]
+    box = {"x0": float(x0), "y0": float(y), "x1": float(x1), "y1": float(y + 12)}
+    return {"doc_id": 1, "page": page, "line": n, "width": 612.0, "height": 792.0, "text": text, "source_start": 10 * n, "source_end": 10 * n + len(text), "spans": spans} | box
+
+
+def kinds(lines, **config):
+    return [(u.kind, u.text) for u in L.page_units(lines, L.Config(**config))]
+
+
+def test_layout_columns_never_merge():
+    lines = [line("Trái một"), line("Phải một", x0=342, x1=500), line("Trái hai", 88), line("Phải hai", 88, 342, 500)]
+    assert [t for _, t in kinds(lines)] == ["Trái một Trái hai", "Phải một Phải hai"]
+
+
+def test_layout_boundaries():
+    lines = [line("Đoạn đầu"), line("Đoạn sau", 130), line("Lệch lề", 146, 110), line("MỤC MỚI", 164, font="Times-Bold", size=14), line("Hình 1. Minh họa", 182)]
+    lines += [line("A  B  C", 200, cells=[("A", 72), ("B", 160), ("C", 250)]), line("1  2  3\n", 216, cells=[("1", 73), ("2", 161), ("3", 251)])]
+    got = kinds(lines)
+    assert [k for k, _ in got] == ["paragraph", "paragraph", "paragraph", "heading", "caption", "table_like"]
+    assert got[-1][1] == "A  B  C\n1  2  3"
+    bullets = [line("• mục một"), line("còn tiếp", 88, 90), line("• mục hai", 104), line("x", 120, font="Symbol")]
+    assert kinds(bullets) == [("bullet_item", "• mục một còn tiếp"), ("bullet_item", "• mục hai"), ("bullet_item", "x")]
+    rows = [line("ordinary start"), line("ordinary next", 94, 78)]
+    assert [len(kinds(rows, **c)) for c in ({"line_gap": 1.9}, {"line_gap": 1.5}, {"line_gap": 1.9, "edge": 4})] == [1, 2, 2]
+    assert kinds([]) == kinds([line(" \t")]) == []
+
+
+@pytest.mark.parametrize(
+    "end, start, right, x0, gap, pages, flagged",
+    [
+        ("Nội dung chưa kết thúc", "tiếp tục ở trang sau.", 400, 72, 1, [(0, 1)], []),
+        ("The quotation says", '"continued on the next page', 400, 72, 1, [(0, 1)], []),
+        ("A line ending without a period", "A new sentence.", 400, 72, 1, [(0, 0), (1, 1)], []),
+        ("It has ended.", "lower case all the same", 400, 72, 1, [(0, 0), (1, 1)], []),
+        ("The project was led by", "Nguyễn Văn A.", 400, 72, 1, [(0, 0), (1, 1)], [1]),
+        ("The fiscal year began in", "2024 and ended.", 400, 72, 1, [(0, 0), (1, 1)], [1]),
+        ("The report listed contributors", "Nguyễn Văn A.", 530, 72, 1, [(0, 0), (1, 1)], [1]),
+        ("Một ý tưởng còn tiếp", "tục nhưng đổi lề.", 400, 126, 1, [(0, 0), (1, 1)], [1]),
+        ("a thought may continue", "continued after a blank page.", 400, 72, 2, [(0, 0), (2, 2)], []),
+    ],
+)
+def test_paragraphs_across_pages(spark, end, start, right, x0, gap, pages, flagged):
+    lines = [line(end, 744, x1=right, n=1), line(start, 48, x0, 400, page=gap, n=2)]
+    got = L.document_units(spark.createDataFrame(lines, LINES)).orderBy("ordinal").collect()
+    assert [(r.page_start, r.page_end) for r in got] == pages
+    assert [r.ordinal for r in got if r.review_flags == ["ambiguous_page_continuation"]] == flagged
+    assert [s.start for r in got for s in r.source_spans] == [10, 20]
+    assert " ".join(r.text for r in got) == f"{end} {start}"
+
+
+def test_units_of_awkward_lines(spark):
+    lines = [line("còn tiếp", 40, page=p, n=p) | {"y1": 700.0} for p in range(3)] + [line("x") | {"text": None}, line("y", n=5) | {"x0": None}, line("z") | {"doc_id": None, "spans": None}]
+    got = L.document_units(spark.createDataFrame(lines, LINES).withColumn("kind", F.lit("mine"))).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.page_start, r.page_end, r.text) for r in got] == [(None, 0, 0, "z"), (1, 0, 2, "còn tiếp còn tiếp còn tiếp")]
+    assert L.document_units(spark.createDataFrame([], LINES)).count() == 0
 
 
 def test_body_bounds():
