@@ -81,13 +81,33 @@ def test_windows_per_section(spark):
     assert all(len({rows[o][1] for o in w.ordinals}) == 1 for w in got)
 
 
-def test_lineage_of_composition_blanks_and_glyphs():
+def test_lineage_of_composition_and_blanks():
     n = lineage.normalized("Cafe" + chr(0x301) + "  x" + chr(0xAD) + "y" + chr(0xA0))
-    assert n.text == "Café xy" and n.ranges[3] == [(3, 5)] and n.ranges[4] == [(5, 7)] and n.status == "ok"
-    glyph = chr(0xE001)
-    assert lineage.normalized(f"a{glyph}b").status == "review_required"
-    assert lineage.normalized(f"a{glyph}b", {glyph: ("ff", "reviewed")}).text == "affb"
-    assert lineage.normalized(f"a{glyph}b", {glyph: ("ff", "proposed")}).status == "review_required"
+    assert n.text == "Café xy" and n.ranges[3] == [(3, 5)] and n.ranges[4] == [(5, 7)] and n.ranges[6] == [(9, 10)] and n.status == "active"
+    marks = "a" + chr(0x327) + chr(0x30A)  # the second mark joins the letter, the first stays
+    assert [c for c, _ in zip(lineage.normalized(marks).text, range(2))] == [chr(0xE5), chr(0x327)]
+    assert lineage.normalized(marks).ranges == [[(0, 1), (2, 3)], [(1, 2)]]
+    assert lineage.normalized(chr(0xFFFD) + chr(0xE001)).flags == ["replacement_character", "unresolved_pua"]
+
+
+def test_lineage_glyph_rules_need_spans_pages_and_evidence(spark):
+    glyph, page = chr(0xE001), f"xx a{chr(0xE001)} b"
+    spans = [{"text": f"a{glyph} b", "font": "F", "page": 2, "start": 3, "end": 7}]
+    key = ("d", "F", 0xE001)
+    run = lambda rule, text=f"a{glyph}b", s=spans, p=page, k=key: lineage.normalized(text, "d", s, {k: rule}, {2: p})
+    good = run(("ff", "seen", "reviewed"))
+    assert (good.text, good.status, good.ranges[1:3]) == ("affb", "active", [[(1, 2)], [(1, 2)]]) and '"source_span": [4, 5]' in good.rules[0]
+    assert run(("ff", "seen", "proposed")).flags == ["unverified_glyph_rule", "unresolved_pua"] == run(("ff", "", "reviewed")).flags
+    assert run(("ff", "seen", "reviewed"), p="moved " + page).flags == ["source_span_unverified", "unresolved_pua"]
+    assert run(("ff", "seen", "reviewed"), s=[]).flags == ["span_alignment_unresolved", "unresolved_pua"]
+    assert run(("ff", "seen", "reviewed"), k=("d", "G", 0xE001)).flags == run(("ff", "seen", "reviewed"), k=("e", "F", 0xE001)).flags == ["unresolved_pua"]
+    rows = [(1, "d", f"a{glyph}b", spans, "extra"), (2, None, None, None, None), (3, "e", f"a{glyph}b", spans, "x"), (4, "d", "plain", None, "x")]
+    units = spark.createDataFrame(rows, "unit_id long, doc_id string, text string, spans array<struct<text: string, font: string, page: int, start: long, end: long>>, status string")
+    rules = spark.createDataFrame([("d", "F", 0xE001, "ff", "seen", "reviewed")], "doc_id string, font string, codepoint int, replacement string, evidence string, status string")
+    pages = spark.createDataFrame([("d", 2, page), ("e", 2, page)], "doc_id string, page int, text string")
+    got = {r.unit_id: (r.normalized.text, r.normalized.status, r.status) for r in lineage.normalized_units(units, rules, pages).collect()}
+    assert got == {1: ("affb", "active", "extra"), 2: ("", "active", None), 3: (f"a{glyph}b", "review_required", "x"), 4: ("plain", "active", "x")}
+    assert lineage.normalized_units(units.limit(0), rules.limit(0), pages).count() == 0
 
 
 @given(st.text(max_size=80))
