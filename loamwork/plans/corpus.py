@@ -74,7 +74,7 @@ def stratified_split(spark, sf_dir):
     sizes = keyed.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("n"))
     r = ranked(keyed, ["lang", "source"], "h", "rank").join(sizes, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")))
     at = F.conv(F.substring("h", 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / float(2**64)
-    tr, dv = F.rint(F.col("n") * 0.70), F.rint(F.col("n") * 0.15)
+    tr, dv = (F.rint((F.col("n") * F.lit(share).cast("decimal(2,2)")).cast("double")) for share in ("0.70", "0.15"))  # 0.70 * 45 is 31.5, as a double less
     split = G.first_of([((F.col("n") < 7) & (at < 0.70), "train"), ((F.col("n") < 7) & (at < 0.85), "dev"), (F.col("n") < 7, "test"), (F.col("rank") <= tr, "train"), (F.col("rank") <= tr + dv, "dev")], "test")
     return r.select("doc_id", "lang", "source", split.alias("split"))
 
