@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -47,20 +47,36 @@ def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.char_length(text)
 
 
-def by_arrow(text: Column, ascii_: Column, f: Callable[[str], str]) -> Column:
-    """ascii_ for texts of ASCII only; f, in Arrow batches, for the others."""
-    run = F.pandas_udf(lambda batch: batch.map(f, na_action="ignore"), StringType())
+def _arrow(f: Callable[[str], str]):
+    """f of each text as a function of Arrow arrays; a worker turns 100 texts at a time into Python strings."""
+
+    def run(batch: pa.Array) -> pa.Array:
+        parts = ([None if t is None else f(t) for t in batch.slice(at, 100).to_pylist()] for at in range(0, len(batch), 100))
+        return pa.concat_arrays([pa.array([], pa.string()), *(pa.array(p, pa.string()) for p in parts)])
+
+    return F.arrow_udf(run, StringType())
+
+
+def by_arrow(text: Column, ascii_: Column, run) -> Column:
+    """ascii_ for texts of ASCII only; the Arrow function for the others. One function object for all uses of a
+    form, so that a plan evaluates it once for a text."""
     return F.when(is_ascii(text), ascii_).otherwise(run(F.when(~is_ascii(text), text)))
 
 
+_COMPOSED = _arrow(lambda t: unicodedata.normalize("NFC", t))
+
+
 def composed(text: Column) -> Column:
     """Unicode normal form C."""
-    return by_arrow(filled(text), filled(text), lambda t: unicodedata.normalize("NFC", t))
+    return by_arrow(filled(text), filled(text), _COMPOSED)
+
+
+_FOLDED = _arrow(lambda t: unicodedata.normalize("NFC", t).casefold())
 
 
 def folded(text: Column) -> Column:
     """Normal form C, case-folded: ß as ss, for example."""
-    return by_arrow(filled(text), F.lower(filled(text)), lambda t: unicodedata.normalize("NFC", t).casefold())
+    return by_arrow(filled(text), F.lower(filled(text)), _FOLDED)
 
 
 def raw_tokens(text: Column) -> Column:
@@ -115,10 +131,13 @@ def _letter_key(text: str) -> str:
     return " ".join("".join(c if c.isalnum() else " " for c in kept).split())
 
 
+_LETTERS = _arrow(_letter_key)
+
+
 def letter_key(text: Column) -> Column:
     """Like ascii_key, but letters and digits of all scripts stay."""
     t = filled(text)
-    return by_arrow(t, F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " ")), _letter_key)
+    return by_arrow(t, F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " ")), _LETTERS)
 
 
 def normalized_line(text: Column) -> Column:
@@ -161,7 +180,8 @@ def integrity(text: Column) -> dict[str, Column]:
 
 def count_of(text: Column, term: str) -> Column:
     """Non-overlapping occurrences of a plain term."""
-    return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int")
+    gone = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(term), F.lit("")))  # bytes are known, characters counted
+    return (gone / len(term.encode())).cast("int")
 
 
 def has_word(text: Column, term: str, edge: str = r"[^\p{L}\p{N}]") -> Column:
