@@ -141,15 +141,20 @@ def year_bucket(year: Column) -> Column:
 
 def language(text: Column) -> Column:
     """vi, en or mixed by the shares of marked words and of common words."""
-    low = F.lower(T.filled(text))
-    words = F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0))
+    return T.bound(F.lower(T.filled(text)), lambda low: T.bound(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0)), lambda words: T.bound(_shares(low, words), lambda s: first_of(
+        [((s["vi"] >= 0.025) & (s["en"] >= 0.025), "mixed"), (s["vi"] >= 0.025, "vi"), (s["en"] >= 0.025, "en")], "mixed"
+    ))))
+
+
+def _shares(low: Column, words: Column) -> Column:
+    """struct(vi, en) of a lower-case text and its words."""
     n = F.greatest(F.size(words), F.lit(1))
     #: From its first mark a match takes the rest of the word, so a word counts once.
     marked = F.regexp_count(low, F.lit(rf"[{''.join(T.MARKED.values())}]\p{{L}}*"))
     common = lambda some: F.size(F.filter(words, lambda w: w.isin(some.split())))
     vi = (marked + 2 * common("và của trong được các nghiên kết hệ một những")) / n
     en = common("the of and in to is for this") / n
-    return first_of([((vi >= 0.025) & (en >= 0.025), "mixed"), (vi >= 0.025, "vi"), (en >= 0.025, "en")], "mixed")
+    return F.struct(vi.alias("vi"), en.alias("en"))
 
 
 #: Signs of pages that are not body text (contents, thanks, references, cover), and of running headers.
