@@ -98,14 +98,13 @@ def it_topic(title: Column, abstract: Column, keywords: Column, faculty: Column,
     title has a term of the blacklist and no override."""
     low_title, low_faculty = F.lower(T.filled(title)), F.lower(T.filled(faculty))
     words = F.lower(F.concat_ws(" ", title, abstract, keywords))
-    tags = F.array_compact(F.array(*(F.when(T.has_word(words, k, r"[^\p{L}\p{N}]"), F.lit(k)) for k in wanted)))
+    found = lambda w, k: F.when(F.contains(w, F.lit(k)) & T.has_word(w, k, r"[^\p{L}\p{N}]"), F.lit(k))  # noqa: E731  a plain search first
+    all_tags = T.bound(words, lambda w: F.array_compact(F.array(*(found(w, k) for k in wanted))))
     hit = first_of([(F.contains(low_faculty, F.lit(f)), f"faculty:{f}") for f in faculties])
-    ok = (F.size(tags) > 0) & (~any_in(low_title, unwanted) | any_in(low_title, overrides))
+    fits = T.bound(low_title, lambda t: ~any_in(t, unwanted) | any_in(t, overrides))
     none = F.array().cast("array<string>")
-    return F.struct(
-        (hit.isNotNull() | ok).alias("accepted"),
-        F.when(hit.isNotNull(), F.array(hit)).when(ok, tags).otherwise(none).alias("tags"),
-    )
+    tags = F.when(hit.isNotNull(), F.array(hit)).when(fits, all_tags).otherwise(none)
+    return T.bound(tags, lambda t: F.struct((F.size(t) > 0).alias("accepted"), t.alias("tags")))
 
 
 #: Title terms of the relevance decision, in keys without marks.
