@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions.storage import staged
+
 
 def counters(df: DataFrame, dims: list[str], missing: str = "unknown") -> DataFrame:
     """dim, value, n: how often each value of each column occurs. One scan; null counts as `missing`."""
@@ -24,6 +27,25 @@ def curation_summary(df: DataFrame, by: str, tokens: Column, least: int) -> Data
     )
 
 
+def term_totals(df: DataFrame, pattern: str, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """name, n, n_docs of each match of a pattern in the lower-cased texts: occurrences and distinct ids with it.
+
+    A document's terms are told apart inside its row, so counts combine before the shuffle, which carries each term
+    once a task; only the rows of repeated ids are counted by term and id.
+    """
+    terms = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(pattern), F.lit(0))
+    repeated = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(F.col(id_col).alias("__id"))
+    repeated = staged(repeated, "repeated-ids")  # few: small enough then to meet the texts without a shuffle of them
+    here = F.col(id_col).eqNullSafe(F.col("__id"))
+    single = df.join(repeated, here, "left_anti").select(T.bound(terms, lambda ts: F.concat(
+        F.transform(ts, lambda t: F.struct(t.alias(name), F.lit(1).alias("n"), F.lit(0).alias("d"))),
+        F.transform(F.array_distinct(ts), lambda t: F.struct(t.alias(name), F.lit(0).alias("n"), F.lit(1).alias("d"))),
+    )).alias("ts")).select(F.inline("ts")).groupBy(name).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    several = df.join(repeated, here, "left_semi").select(id_col, F.explode(terms).alias(name)).groupBy(name, id_col).agg(F.count(F.lit(1)).alias("n"))
+    several = several.groupBy(name).agg(F.sum("n").alias("n"), F.count(id_col).alias("d"))
+    return single.unionByName(several).groupBy(name).agg(F.sum("n").alias("n"), F.sum("d").alias("n_docs"))
+
+
 def quality_flags(df: DataFrame, **flags: Column) -> DataFrame:
     """One row: how many rows each flag holds for."""
     return df.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()))

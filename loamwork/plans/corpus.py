@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..functions.ids import hash_split
 from ..functions.ranking import order_statistics, ranked
 from ..operators import gates as G
-from ..operators.reports import counters, curation_summary
+from ..operators.reports import counters, curation_summary, term_totals
 from ..operators.topics import classified, it_topic, TOPICS
 from ..operators.units import lines, lines_of
 from .registry import query, table
@@ -188,10 +188,7 @@ def curation_counts(spark, sf_dir):
 @query("""SELECT keyword, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}]{4,}')) AS keyword FROM documents)
  GROUP BY keyword ORDER BY n DESC, keyword LIMIT 25""")
 def topk_keywords(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower(T.filled(F.col("text"))), F.lit(r"[\p{L}]{4,}"), F.lit(0))).alias("keyword"))
-    per_doc = words.groupBy("keyword", "doc_id").count()
-    totals = per_doc.groupBy("keyword").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("n_docs"))
-    return totals.orderBy(F.desc("n"), "keyword").limit(25)
+    return term_totals(table(spark, sf_dir, "documents"), r"[\p{L}]{4,}", "keyword").orderBy(F.desc("n"), "keyword").limit(25)
 
 
 @query(f"""SELECT doc_id, len(ls)::INT AS n_lines, length(array_to_string(ls, chr(10) || chr(10)))::INT AS n_chars, sha256(array_to_string(ls, chr(10) || chr(10))) AS text_sha256 FROM (WITH {UNITS} SELECT doc_id, ls FROM u0)""")
